@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +34,29 @@ def remainder(id_col: str, modulus: int) -> Column:
 def held(id_col: str, modulus: int, rest: int) -> Column:
     """True if the crc32 remainder equals `rest`; rows without an id count as not held out."""
     return F.coalesce(remainder(id_col, modulus) == rest, F.lit(False))
+
+
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it again; removed when the driver ends.
+
+    For tables with millions of narrow rows this takes a fraction of a checkpoint's space.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{folder or tempfile.mkdtemp(prefix='orrery-')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _kept:
+        atexit.register(_remove)
+    _kept.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for spark, path in _kept:
+        if spark.sparkContext._jsc is None:
+            continue
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

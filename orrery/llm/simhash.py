@@ -153,7 +153,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): one row per input row, linked at two or fewer differing bits."""
     fps = cut(fingerprints(docs, id_col, text_col, width))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    # an explicit number of partitions, as small rows would be drawn into a few tasks, and each makes 28 postings
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).repartition(parts, "fp"))
     found = components(links(reps))
     classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
