@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_SHARE, MAX_SHARE = 1 / 5000, 1 / 20
-SEEDS, LEVELS = 6, 12
+SEEDS, LEVELS = 10, 12
 _FLUSH = 400_000
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * s + 1)) % (1 << 64) for s in range(1, SEEDS + 1)], np.uint64)
 
 
 def _terms(text: bytes | None) -> set[bytes]:
