@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-DEPTH = 5
+DEPTH = 6
 END = 0xFF
 MAX_CONTEXTS = 1 << 19
 MAX_WORDS = 1 << 18
