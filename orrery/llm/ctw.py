@@ -39,7 +39,7 @@ from .common import stored
 
 DEPTH = 6
 END = 0xFF
-MAX_CONTEXTS = 1 << 19
+MAX_CONTEXTS = 1 << 18
 MAX_WORDS = 1 << 18
 _FLUSH = 400_000
 _BYTES = 4 << 20
@@ -151,7 +151,7 @@ class Table:
     """Open-addressed map from 64-bit keys to doubles, read many keys at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
         self.shift, self.mask = _U(64 - bits), _U((1 << bits) - 1)
         self.keys = np.full(1 << bits, _EMPTY)
         self.values = np.zeros(1 << bits)
@@ -193,7 +193,7 @@ class Model:
     depth: int
     contexts: Table  # (depth, context) that are tree nodes
     whole: Table  # (depth, context, byte) -> log10 probability
-    nodes: list[tuple[np.ndarray, np.ndarray]]  # by depth: (context, decision), probability of a one
+    nodes: list[list[tuple[np.ndarray, np.ndarray]]]  # by decision and depth: (context, byte's head), probability of a one
 
     @staticmethod
     def tag(depth: int, keys: np.ndarray) -> np.ndarray:
@@ -204,15 +204,14 @@ class Model:
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for d in range(self.depth, -1, -1):
-            mine = keys & _low(d + 1) if len(left) == len(keys) else keys[left] & _low(d + 1)
+            mine = keys[left] & _low(d + 1)
             value, there = self.whole.get(self.tag(d, mine))
             out[left[there]] = value[there]
             left, mine = left[~there], mine[~there]
             if not len(left):
                 break
             _, known = self.contexts.get(self.tag(d, mine >> _U(8)))
-            if d == 0:
-                known[:] = True
+            known |= d == 0
             if known.any():
                 odd, back = np.unique(mine[known], return_inverse=True)
                 out[left[known]] = self.decisions(odd, d)[back]
@@ -226,73 +225,78 @@ class Model:
         out = np.zeros(len(keys))
         byte, context = keys & _U(255), keys >> _U(8)
         for k in range(8):
-            node = _U(1 << k) | (byte >> _U(8 - k))
             one = ((byte >> _U(7 - k)) & _U(1)) == 1
             p = np.full(len(keys), 0.5)
-            open_ = np.ones(len(keys), bool)
+            open_ = np.arange(len(keys))
             for d in range(depth, -1, -1):
-                table, value = self.nodes[d]
-                at = _find(table, ((context[open_] & _low(d)) << _U(8)) | node[open_])
-                rows = np.nonzero(open_)[0][at >= 0]
-                p[rows] = value[at[at >= 0]]
-                open_[rows] = False
-                if not open_.any():
+                table, value = self.nodes[k][d]
+                at = _find(table, _head(context[open_] & _low(d), byte[open_], k))
+                p[open_[at >= 0]] = value[at[at >= 0]]
+                open_ = open_[at < 0]
+                if not len(open_):
                     break
             out += np.log10(np.where(one, p, 1 - p))
         return out
 
 
+def _head(context: np.ndarray, byte: np.ndarray, k: int) -> np.ndarray:
+    """Key of the k-th decision of a byte after a context: the byte's first k bits are known."""
+    return (context << _U(8)) | (byte >> _U(8 - k) << _U(8 - k) if k else byte & _U(0))
+
+
 def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model of gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
 
-    Only grams of contexts that are tree nodes are given, and a node's parent is a node.
+    Only grams of contexts that are tree nodes are given, and a node's parent is a node. Each of a
+    byte's eight decisions has trees of its own, so they are weighed one after another; sorted
+    grams keep a decision's nodes together, and sums run over neighbours.
     """
     depth = len(levels) - 1
-    nodes, zeros, ones = [], [], []
-    for keys, n in levels:
-        byte, context = keys & _U(255), keys >> _U(8)
-        each = np.concatenate([(context << _U(8)) | _U(1 << k) | (byte >> _U(8 - k)) for k in range(8)])
-        bit = np.concatenate([(byte >> _U(7 - k)) & _U(1) for k in range(8)]).astype(bool)
-        found, back = np.unique(each, return_inverse=True)
-        count = np.tile(n.astype(float), 8)
-        nodes.append(found)
-        ones.append(np.bincount(back[bit], count[bit], len(found)))
-        zeros.append(np.bincount(back[~bit], count[~bit], len(found)))
-    stay, rest = [np.zeros(0)] * (depth + 1), [(np.zeros(0), np.zeros(0))] * (depth + 1)
-    parent: list[np.ndarray] = [np.zeros(0, int)] * (depth + 1)
-    below = np.zeros(0)
-    for d in range(depth, -1, -1):
-        own = log_kt(zeros[d], ones[d])
-        if d == depth:
-            below, stay[d] = own, np.ones(len(own))
-        else:
-            up = parent[d + 1]
-            size = len(nodes[d])
+    whole = [np.zeros(len(k)) for k, _ in levels]
+    nodes = []
+    for k in range(8):
+        names, firsts, zeros, ones = [], [], [], []
+        for keys, n in levels:
+            heads = _head(keys >> _U(8), keys & _U(255), k)
+            first = np.nonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))[0] if len(heads) else np.zeros(0, np.int64)
+            bit = ((keys >> _U(7 - k)) & _U(1)) == 1
+            both = np.add.reduceat(n.astype(float), first) if len(heads) else np.zeros(0)
+            up = np.add.reduceat(np.where(bit, n, 0).astype(float), first) if len(heads) else np.zeros(0)
+            names.append(heads[first])
+            firsts.append(first)
+            ones.append(up)
+            zeros.append(both - up)
+        parent = [np.zeros(0, np.int64)]
+        for d in range(1, depth + 1):
+            parent.append(_find(names[d - 1], ((names[d] >> _U(8) & _low(d - 1)) << _U(8)) | (names[d] & _U(255))))
+        stay: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
+        tail: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
+        below = log_kt(zeros[depth], ones[depth])
+        for d in range(depth - 1, -1, -1):
+            own, up, size = log_kt(zeros[d], ones[d]), parent[d + 1], len(names[d])
             z = zeros[d] - np.bincount(up, zeros[d + 1], size)
             o = ones[d] - np.bincount(up, ones[d + 1], size)
             children = np.bincount(up, below, size) + log_kt(z, o)
             below = np.logaddexp(own, children) - np.log(2)
             stay[d] = np.exp(own - np.log(2) - below)
-            rest[d] = (z, o)
-        if d:
-            context, node = nodes[d] >> _U(8), nodes[d] & _U(255)
-            parent[d] = _find(nodes[d - 1], ((context & _low(d - 1)) << _U(8)) | node)
-    ahead, mixed = np.ones(len(nodes[0])), np.zeros(len(nodes[0]))
-    tables = []
-    for d in range(depth + 1):
-        own = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-        tail = own
-        if d < depth:
-            z, o = rest[d]
-            tail = np.where(z + o > 0, stay[d] * own + (1 - stay[d]) * (o + 0.5) / (z + o + 1), own)
-        tables.append((nodes[d], mixed + ahead * tail))
-        if d < depth:
-            mixed, ahead = (mixed + ahead * stay[d] * own)[parent[d + 1]], (ahead * (1 - stay[d]))[parent[d + 1]]
-    bare = Model(depth, Table(np.zeros(0, _U), np.zeros(0)), Table(np.zeros(0, _U), np.zeros(0)), tables)
+            tail[d] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), np.nan)
+        ahead, mixed = np.ones(len(names[0])), np.zeros(len(names[0]))
+        tables = []
+        for d in range(depth + 1):
+            own = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
+            last = own if d == depth else np.where(np.isnan(tail[d]), own, stay[d] * own + (1 - stay[d]) * tail[d])
+            p = mixed + ahead * last
+            tables.append((names[d], p))
+            keys = levels[d][0]
+            if len(keys):
+                each = np.repeat(p, np.diff(np.append(firsts[d], len(keys))))
+                whole[d] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
+            if d < depth:
+                mixed, ahead = (mixed + ahead * stay[d] * own)[parent[d + 1]], (ahead * (1 - stay[d]))[parent[d + 1]]
+        nodes.append(tables)
+    contexts = np.concatenate([Model.tag(d, k[np.nonzero(np.diff(k >> _U(8), prepend=~(k[:1] >> _U(8))))[0]] >> _U(8)) if len(k) else k for d, (k, _) in enumerate(levels)])
     keys = np.concatenate([Model.tag(d, k) for d, (k, _) in enumerate(levels)])
-    values = np.concatenate([bare.decisions(k, d) for d, (k, _) in enumerate(levels)])
-    contexts = np.unique(np.concatenate([Model.tag(d, k >> _U(8)) for d, (k, _) in enumerate(levels)]))
-    return Model(depth, Table(contexts, np.zeros(len(contexts))), Table(keys, values), tables)
+    return Model(depth, Table(contexts, np.zeros(len(contexts))), Table(keys, np.concatenate(whole)), nodes)
 
 
 def fit(counted: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> Model:
