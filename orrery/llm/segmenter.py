@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -77,6 +77,7 @@ class Vocabulary:
     longest: int = 1
     units: re.Pattern | None = None
     unknown_log_p: float = -30.0
+    spelled: list[bytes] | None = None
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -150,13 +151,10 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids; the space that encoding puts in front is taken off."""
-        value = {i: b for b, i in enumerate(self.bytes_)}
-        pieces = self.pieces
-        if any(i in value for i in set(ids)):
-            text = b"".join(bytes([value[i]]) if i in value else pieces[i].encode() for i in ids).decode("utf-8", "replace")
-        else:
-            text = "".join([pieces[i] for i in ids])
-        text = text.replace(SPACE, " ")
+        if self.spelled is None:
+            value = {i: b for b, i in enumerate(self.bytes_)}
+            self.spelled = [bytes([value[i]]) if i in value else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        text = b"".join([self.spelled[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -187,32 +185,49 @@ class Lattice:
             if size == 1:
                 single[alive[whole]] = True
         odd = np.nonzero(~single)[0]
-        at, length, piece = (np.concatenate([f[k] for f in found] + [np.zeros(0, np.int64)]).astype(np.int64) for k in range(3))
-        weight = vocabulary.log_p[piece]
         code = codes[odd]
         unknown = -code - 1
         if vocabulary.bytes_:
             unknown = np.where(code < 128, np.array(vocabulary.bytes_)[np.minimum(code, 127)], unknown)
-        at, length = np.concatenate([at, odd]), np.concatenate([length, np.ones(len(odd), np.int64)])
-        piece, weight = np.concatenate([piece, unknown]), np.concatenate([weight, np.full(len(odd), vocabulary.unknown_log_p)])
-        # backward sums, by distance from the unit's end
-        order = np.lexsort((length, at, room[at]))
-        at, length, piece, weight = at[order], length[order], piece[order], weight[order]
+        found.append((odd, np.ones(len(odd), np.int64), unknown))
+        # edges in the order of their slots, placed by counting
+        degree = np.zeros(n, np.int64)
+        for at, _, _ in found:
+            degree[place[at]] += 1  # no slot twice for one length
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        edges = int(self.first[-1])
+        self.piece, self.next, self.slot = (np.empty(edges, np.int64) for _ in range(3))
+        weight = np.empty(edges)
+        filled = self.first[:-1].copy()
+        for at, length, piece in found:
+            where = place[at]
+            to = filled[where]
+            filled[where] += 1
+            self.piece[to], self.next[to], self.slot[to] = piece, where + length, where
+            weight[to] = np.where(piece >= 0, vocabulary.log_p[np.maximum(piece, 0)], vocabulary.unknown_log_p)
+            if at is odd:
+                weight[to] = vocabulary.unknown_log_p
+        # backward sums, by distance from the unit's end, one edge of every slot at a time
         beta = np.zeros(n)
-        far = room[at]
-        cuts = np.nonzero(np.diff(far, prepend=-1))[0]
-        for a, b in zip(cuts, [*cuts[1:], len(far)]):
-            slot = place[at[a:b]]
-            heads = np.nonzero(np.diff(slot, prepend=-1))[0]
-            beta[slot[heads]] = np.logaddexp.reduceat(weight[a:b] + beta[slot + length[a:b]], heads)
-        slot = place[at]
-        order = np.argsort(slot, kind="stable")
-        slot, length, weight = slot[order], length[order], weight[order]
-        self.piece, self.next, self.slot = piece[order], slot + length, slot
+        far = np.argsort(room, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(room))[1:]]) if len(room) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            slots = place[far[a:b]]
+            at, last = self.first[slots], self.first[slots + 1]
+            sums = weight[at] + beta[self.next[at]]
+            rows = np.arange(len(slots))
+            while True:
+                at = at + 1
+                on = at < last[rows]
+                if not on.any():
+                    break
+                rows, at = rows[on], at[on]
+                sums[rows] = np.logaddexp(sums[rows], weight[at] + beta[self.next[at]])
+            beta[slots] = sums
+        slot = self.slot
         self.log_p = np.minimum(weight + beta[self.next] - beta[slot], 0.0)
         p = np.exp(self.log_p)
         sums = np.cumsum(p)
-        self.first = np.searchsorted(slot, np.arange(n + 1))
         before = np.concatenate([[0.0], sums])[self.first[slot]]
         self.upto = sums - before
         ends = self.first[slot + 1] - 1
@@ -397,9 +412,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [shared.value.decode(ids or []) for ids in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):  # a batch's ids are never all Python numbers at once
+                batch = whole.slice(start, 256)
+                ids = batch.column(at)
+                flat, ends = np.asarray(ids.flatten()), np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
+                texts = [shared.value.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
+                yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     from pyspark.sql import types as T
 
