@@ -84,27 +84,29 @@ def _member(terms: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
 
 def codes(text: bytes | None, lexicon: np.ndarray) -> np.ndarray:
     """(SEEDS, LEVELS) 16-bit codes of a text; 0 where it has no term of that part."""
-    from xxhash import xxh64_intdigest
-
-    out = np.zeros((SEEDS, LEVELS), np.uint16)
     terms = np.sort(_hashes(_terms(text)))
     if not len(terms):
-        return out
+        return np.zeros((SEEDS, LEVELS), np.uint16)
     inside = _member(terms, lexicon)
     if inside.any():
         terms = terms[inside]
-    for s in range(SEEDS):
-        mixed = terms * _MIX[s]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _MIX[(s + 1) % SEEDS]
-        low = (mixed >> np.uint64(40)).astype(np.int64)
-        low &= -low  # the lowest set bit says how many halvings a term survives
-        for level in range(LEVELS):
-            part = terms[(low >= 1 << level) | (low == 0)] if level else terms
-            if not len(part):
-                break
-            out[s, level] = xxh64_intdigest(part.tobytes(), s) % 65535 + 1
-    return out
+    mixed = terms[None, :] * _MIX[:, None]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= _MIX[::-1, None]
+    mixed ^= mixed >> np.uint64(29)
+    low = (mixed >> np.uint64(40)).astype(np.int32)
+    low &= -low  # the lowest set bit says how many halvings a term survives
+    low[low == 0] = 1 << 30
+    sums = np.empty((SEEDS, LEVELS), np.uint64)
+    some = np.empty((SEEDS, LEVELS), bool)
+    for level in range(LEVELS):
+        stays = low >= 1 << level
+        # a set of distinct terms is hashed by the sum of their mixed hashes, whatever their order
+        sums[:, level] = (mixed * stays).sum(1)
+        some[:, level] = stays.any(1)
+    sums ^= sums >> np.uint64(31)
+    sums *= np.uint64(0x9E3779B97F4A7C15)
+    return np.where(some, (sums >> np.uint64(33)) % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
 
 
 def written(code: np.ndarray) -> str:
@@ -140,7 +142,7 @@ def fingerprints(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", tex
 def against_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text beside its edited text: its last quarter replaced by the start of the next one's.
 
-    The next row by (id, text) follows in the same range of ids; the first row of the next range is
+    The next row by (id, hash of the text) follows in the same range of ids; the first row of the next range is
     sent along with each range, so that no task sees more than a range and texts move once.
     """
     spark = docs.sparkSession
@@ -156,29 +158,42 @@ def against_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", te
     first = rows.agg(F.min("k")).first()[0] if found else None
     bounds = np.array(sorted({*found, first}) if found else [], np.int64)
 
-    @F.pandas_udf("long")
-    def place(k):
-        at = np.searchsorted(bounds, k.to_numpy(np.int64), "right") - 1
-        return k.__class__(2 * at + (bounds[at] == k.to_numpy(np.int64)))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's range, whether it is the range's first id, and its text, packed for the way."""
+        from xxhash import xxh64_intdigest
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
+        for batch in batches:
+            k = np.asarray(batch.column(1))
+            at = np.searchsorted(bounds, k, "right") - 1
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(at), pa.array(bounds[at] == k), pa.array([xxh64_intdigest(t) >> 1 for t in texts], pa.int64()), pa.array([pack(t) for t in texts], pa.binary())],
+                ["doc_id", "k", "at", "starts", "tie", "body"],
+            )
 
     last = max(0, len(bounds) - 1)
-    placed = rows.withColumn("p", place("k"))
-    at = F.shiftright("p", 1)
-    here = F.struct(at.alias("range"), F.lit(False).alias("tail"))
-    before = F.struct(F.when(at == 0, F.lit(last).cast("long")).otherwise(at - 1).alias("range"), F.lit(True).alias("tail"))
-    spread = placed.select("doc_id", "k", "text", F.explode(F.when(F.col("p") % 2 == 1, F.array(here, before)).otherwise(F.array(here))).alias("r"))
-    ordered = spread.select(F.col("r.range").alias("range"), F.col("r.tail").alias("tail"), "k", "doc_id", "text").repartition(parts, "range").sortWithinPartitions("range", "tail", "k", "text")
+    placed = rows.mapInArrow(place, "doc_id long, k long, at long, starts boolean, tie long, body binary")
+    here = F.struct(F.col("at").alias("range"), F.lit(False).alias("tail"))
+    before = F.struct(F.when(F.col("at") == 0, F.lit(last).cast("long")).otherwise(F.col("at") - 1).alias("range"), F.lit(True).alias("tail"))
+    spread = placed.select("doc_id", "k", "tie", "body", F.explode(F.when(F.col("starts"), F.array(here, before)).otherwise(F.array(here))).alias("r"))
+    ordered = spread.select(F.col("r.range").alias("range"), F.col("r.tail").alias("tail"), "k", "tie", "doc_id", "body").repartition(parts, "range").sortWithinPartitions("range", "tail", "k", "tie")
     shared = spark.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         lexicon = shared.value
         held = None  # (range, id, text, codes) that waits for its next row
         for batch in batches:
             out: list[tuple] = []
-            for r, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "tail", "doc_id", "text"))):
+            for r, tail, doc_id, body in zip(*(batch.column(c).to_pylist() for c in ("range", "tail", "doc_id", "body"))):
                 if tail and (held is None or held[0] != r):
                     continue  # a range's further tail rows are copies of its first row's id
-                own = codes(text.encode(), lexicon)
+                raw = unpack(body)
+                text, own = raw.decode(), codes(raw, lexicon)
                 if held is not None and held[0] == r:
                     _, i, t, c = held
                     quarter = len(t) // 4
