@@ -25,6 +25,7 @@ byte has probability 1/256. Only id and text columns are read.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,6 +196,34 @@ class Model:
     whole: Table  # (depth, context, byte) -> log10 probability
     nodes: list[list[tuple[np.ndarray, np.ndarray]]]  # by decision and depth: (context, byte's head), probability of a one
 
+    @staticmethod
+    def of(levels: list[np.ndarray], ones: list[list[np.ndarray]]) -> Model:
+        """From the sorted grams of each depth and, by decision and depth, its nodes' probabilities of a one."""
+        nodes, whole = [], [np.zeros(len(keys)) for keys in levels]
+        for k in range(8):
+            nodes.append([])
+            for d, keys in enumerate(levels):
+                heads, first = _nodes(keys, k)
+                p = ones[k][d].astype(float)
+                nodes[k].append((heads, p))
+                each = np.repeat(p, np.diff(np.append(first, len(keys))))
+                whole[d] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
+        contexts = np.concatenate([Model.tag(d, _nodes(keys, 0)[0] >> _U(8)) for d, keys in enumerate(levels)])
+        grams = np.concatenate([Model.tag(d, keys) for d, keys in enumerate(levels)])
+        return Model(len(levels) - 1, Table(contexts, np.zeros(len(contexts))), Table(grams, np.concatenate(whole)), nodes)
+
+    @staticmethod
+    def opened(packed: bytes) -> Model:
+        """The model of `pack`; a worker process opens each once."""
+        name = _hash(packed)
+        if name not in _OPEN:
+            from zstandard import ZstdDecompressor
+
+            levels, ones = pickle.loads(ZstdDecompressor().decompress(packed))
+            _OPEN.clear()
+            _OPEN[name] = Model.of([np.cumsum(np.frombuffer(k, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U) for k in levels], ones)
+        return _OPEN[name]
+
     @staticmethod
     def tag(depth: int, keys: np.ndarray) -> np.ndarray:
         return keys | _U(depth << 56)
@@ -244,26 +273,41 @@ def _head(context: np.ndarray, byte: np.ndarray, k: int) -> np.ndarray:
     return (context << _U(8)) | (byte >> _U(8 - k) << _U(8 - k) if k else byte & _U(0))
 
 
-def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
+def _nodes(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the k-th decision of sorted grams, and where each begins."""
+    heads = _head(keys >> _U(8), keys & _U(255), k)
+    first = np.nonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))[0] if len(heads) else np.zeros(0, np.int64)
+    return heads[first], first
+
+
+def pack(levels: list[np.ndarray], ones: list[list[np.ndarray]]) -> bytes:
+    """A model for broadcast: differences of sorted grams, byte by byte, and probabilities."""
+    from zstandard import ZstdCompressor
+
+    steps = [np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for keys in levels]
+    return ZstdCompressor(level=6).compress(pickle.dumps((steps, ones)))
+
+
+_OPEN: dict[int, Model] = {}
+
+
+def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[list[np.ndarray]]:
+    """By decision and depth, the nodes' probabilities of a one, from gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
 
     Only grams of contexts that are tree nodes are given, and a node's parent is a node. Each of a
     byte's eight decisions has trees of its own, so they are weighed one after another; sorted
     grams keep a decision's nodes together, and sums run over neighbours.
     """
     depth = len(levels) - 1
-    whole = [np.zeros(len(k)) for k, _ in levels]
-    nodes = []
+    found = []
     for k in range(8):
-        names, firsts, zeros, ones = [], [], [], []
+        names, zeros, ones = [], [], []
         for keys, n in levels:
-            heads = _head(keys >> _U(8), keys & _U(255), k)
-            first = np.nonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))[0] if len(heads) else np.zeros(0, np.int64)
+            heads, first = _nodes(keys, k)
             bit = ((keys >> _U(7 - k)) & _U(1)) == 1
-            both = np.add.reduceat(n.astype(float), first) if len(heads) else np.zeros(0)
-            up = np.add.reduceat(np.where(bit, n, 0).astype(float), first) if len(heads) else np.zeros(0)
-            names.append(heads[first])
-            firsts.append(first)
+            both = np.add.reduceat(n.astype(float), first) if len(keys) else np.zeros(0)
+            up = np.add.reduceat(np.where(bit, n, 0).astype(float), first) if len(keys) else np.zeros(0)
+            names.append(heads)
             ones.append(up)
             zeros.append(both - up)
         parent = [np.zeros(0, np.int64)]
@@ -281,58 +325,44 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
             stay[d] = np.exp(own - np.log(2) - below)
             tail[d] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), np.nan)
         ahead, mixed = np.ones(len(names[0])), np.zeros(len(names[0]))
-        tables = []
+        found.append([])
         for d in range(depth + 1):
             own = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
             last = own if d == depth else np.where(np.isnan(tail[d]), own, stay[d] * own + (1 - stay[d]) * tail[d])
-            p = mixed + ahead * last
-            tables.append((names[d], p))
-            keys = levels[d][0]
-            if len(keys):
-                each = np.repeat(p, np.diff(np.append(firsts[d], len(keys))))
-                whole[d] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
+            p = (mixed + ahead * last).astype(np.float32)
+            found[k].append(np.clip(p, np.float32(1e-9), np.float32(1 - 1e-7)))
             if d < depth:
                 mixed, ahead = (mixed + ahead * stay[d] * own)[parent[d + 1]], (ahead * (1 - stay[d]))[parent[d + 1]]
-        nodes.append(tables)
-    contexts = np.concatenate([Model.tag(d, k[np.nonzero(np.diff(k >> _U(8), prepend=~(k[:1] >> _U(8))))[0]] >> _U(8)) if len(k) else k for d, (k, _) in enumerate(levels)])
-    keys = np.concatenate([Model.tag(d, k) for d, (k, _) in enumerate(levels)])
-    return Model(depth, Table(contexts, np.zeros(len(contexts))), Table(keys, np.concatenate(whole)), nodes)
+    return found
 
 
-def fit(counted: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Learn the trees from tallies; only contexts that are tree nodes come to the driver."""
-    sums = counted.where(F.col("kind") == GRAM)
+def fit(counted: DataFrame, texts: int, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """Learn the trees from tallies of so many texts: sorted grams of each depth, and probabilities.
+
+    A depth's contexts are the strings found often enough among the grams of the depth before, so
+    each step sums the grams of at most `max_contexts` contexts, which are joined by broadcast.
+    """
+    spark = counted.sparkSession
+    sums = counted.where(F.col("kind") == GRAM).select("key", "n")
     total = sums.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // max_contexts))
-    each = F.explode(F.array(*[F.struct(F.lit(d).cast("byte").alias("d"), F.col("key").bitwiseAND(F.lit(int(_low(d + 1)))).alias("gram")) for d in range(depth + 1)]))
-    by_depth = sums.select("n", each.alias("g")).groupBy("g.d", "g.gram").agg(F.sum("n").alias("n"))
-    kept = (
-        by_depth.groupBy("d", F.shiftright("gram", 8).alias("context"))
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("gram", "n")).alias("gs"))
-        .where(F.col("total") >= least)
-        .select("d", F.col("gs.gram").alias("gram"), F.col("gs.n").alias("n"))
-        .toArrow()
-    )
-    if not total:
-        return weigh([(np.zeros(0, _U), np.zeros(0))] * (depth + 1))
-    table = {c: kept.column(c).combine_chunks() for c in ("gram", "n")}
-    gram, n = (np.asarray(_flat(table[c])) for c in ("gram", "n"))
-    sizes = np.diff(np.asarray(_array(table["gram"]).offsets))
-    level = np.repeat(np.asarray(kept.column("d")), sizes)
-    levels = []
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    contexts = np.zeros(1, np.int64)
     for d in range(depth + 1):
-        mine = level == d
-        order = np.argsort(gram[mine].view(_U))
-        levels.append((gram[mine].view(_U)[order], n[mine][order]))
-    return weigh(levels)
-
-
-def _array(column) -> pa.Array:
-    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-
-
-def _flat(column) -> pa.Array:
-    return _array(column).flatten()
+        gram = F.col("key").bitwiseAND(F.lit(int(_low(d + 1))))
+        rows = sums.select(gram.alias("gram"), "n")
+        if d:
+            frequent = spark.createDataFrame(pa.table({"context": pa.array(contexts, pa.int64())}))
+            rows = rows.join(F.broadcast(frequent), F.shiftright("gram", 8) == F.col("context"), "left_semi")
+        kept = (rows.groupBy("gram").agg(F.sum("n").alias("n")) if d < depth else rows).toArrow()
+        keys, n = (np.asarray(kept.column(c), np.int64) for c in ("gram", "n"))
+        order = np.argsort(keys)
+        levels.append((keys[order].view(_U), n[order]))
+        # strings of d + 1 bytes that go on (none goes on behind the end), and the start of a text
+        mine = (n >= least) & (keys & 255 != END)
+        contexts = np.append(keys[mine], np.zeros(int(texts >= least and total > 0), np.int64))
+        contexts = np.unique(contexts)
+    return [keys for keys, _ in levels], weigh(levels)
 
 
 # --- scoring --------------------------------------------------------------------------------
@@ -350,17 +380,18 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     seen, distinct = totals["n"] or 0, totals["v"]
     divisor = np.log10(seen + distinct + 1)
-    model = fit(counted, depth, max_contexts)
+    end_count = words.where(F.col("key") == int(np.array([_hash(bytes([END]))], _U).view(np.int64)[0])).first()
+    model = pack(*fit(counted, end_count["n"] if end_count else 0, depth, max_contexts))
     least = max(2, -(-seen // max_words))
     common = words.where(F.col("n") >= least).toArrow()
     keys = np.asarray(common.column("key"), np.int64).view(_U) if common.num_rows else np.zeros(0, _U)
     order = np.argsort(keys)
-    end_count = words.where(F.col("key") == int(np.array([_hash(bytes([END]))], _U).view(np.int64)[0])).first()
     shared = spark.sparkContext.broadcast((model, keys[order], np.log10(np.asarray(common.column("n"), float)[order] + 1) if common.num_rows else np.zeros(0)))
     end_log, end_known = np.log10((end_count["n"] if end_count else 0) + 1), int(bool(end_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, known, logs = shared.value
+        packed, known, logs = shared.value
+        trees = Model.opened(packed)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()

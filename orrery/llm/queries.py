@@ -63,9 +63,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_gumbel_segmentations(spark: SparkSession, sf_dir: str, model: str = segmenter.MODEL) -> DataFrame:
     vocabulary = segmenter.Vocabulary.load(model)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    samples = segmenter.encode(docs, vocabulary, k=2)
-    spelled = segmenter.decode(samples, vocabulary)
-    return spelled.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_p", "perturbed", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
+    samples = segmenter.encode(docs, vocabulary, k=2, decoded=True)
+    return samples.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_p", "perturbed", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

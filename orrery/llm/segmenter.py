@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_BYTES = 1 << 20
+_BYTES = 2 << 20
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -119,13 +120,22 @@ class Vocabulary:
                 crossing |= bool(re.search(f"[^{SPACE}]{SPACE}", piece))
         keys = np.array([self.key(p) for p in prefixes], _U)
         self.table = Table(keys, np.array(list(prefixes.values()), float))
-        # characters that no longer piece holds stand alone; other units start at a run of spaces
-        alike = "".join(sorted(inner - {SPACE}))
-        if crossing or not alike:
+        # Characters that no longer piece holds stand alone; other units start at a run of spaces, or
+        # where a mark follows a character that precedes no mark in any piece.
+        if crossing or not inner - {SPACE}:
             self.units = re.compile(r".+", re.S)
-        else:
-            chars = "".join(re.escape(c) for c in alike)
-            self.units = re.compile(f"{SPACE}+[{chars}]*|[{chars}]+|.", re.S)
+            return self
+        before: dict[str, set[str]] = {c: set() for c in inner}
+        for i in own:
+            for x, y in zip(pieces[i], pieces[i][1:]):
+                before[y].add(x)
+        marks = {c for c in inner - {SPACE} if not c.isalpha()}
+        while joined := {c for c in marks if before[c] - marks - {SPACE}}:
+            marks -= joined
+        one = lambda chars: "".join(re.escape(c) for c in sorted(chars))
+        others = f"[{one(inner - marks - {SPACE})}]" if inner - marks - {SPACE} else "(?!)"
+        mark = f"[{one(marks)}]" if marks else "(?!)"
+        self.units = re.compile(f"{SPACE}+(?:{mark})*(?:{others})*|(?:{mark})+(?:{others})*|(?:{others})+|.", re.S)
         return self
 
     @staticmethod
@@ -149,12 +159,17 @@ class Vocabulary:
                 out.append(self.unknown)
         return np.array(out, np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of piece ids; the space that encoding puts in front is taken off."""
+    def spelling(self) -> list[bytes]:
+        """The bytes that each piece stands for."""
         if self.spelled is None:
             value = {i: b for b, i in enumerate(self.bytes_)}
             self.spelled = [bytes([value[i]]) if i in value else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        text = b"".join([self.spelled[i] for i in ids]).decode("utf-8", "replace")
+        return self.spelled
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of piece ids; the space that encoding puts in front is taken off."""
+        spelled = self.spelling()
+        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -209,7 +224,7 @@ class Lattice:
                 weight[to] = vocabulary.unknown_log_p
         # backward sums, by distance from the unit's end, one edge of every slot at a time
         beta = np.zeros(n)
-        far = np.argsort(room, kind="stable")
+        far = np.argsort(room.astype(np.uint16) if len(room) and room.max() < 1 << 16 else room, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(room))[1:]]) if len(room) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1], cuts[1:]):
             slots = place[far[a:b]]
@@ -275,10 +290,11 @@ class Lattice:
 class _Row:
     """The search of one text: its queue of sets and what has been popped."""
 
-    __slots__ = ("units", "key", "queue", "paths", "number")
+    __slots__ = ("units", "key", "queue", "paths", "salts", "number", "most")
 
-    def __init__(self, units: np.ndarray, key: int) -> None:
-        self.units, self.key, self.queue, self.paths, self.number = units, key, [], [], 0
+    def __init__(self, units: np.ndarray, key: int, most: int) -> None:
+        self.most = most
+        self.units, self.key, self.queue, self.paths, self.salts, self.number = units, key, [], [], [], 0
 
     def push(self, bound: float, *place) -> None:
         if bound > -np.inf:
@@ -299,7 +315,10 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
     for text, key in zip(texts, keys):
         body = SPACE + text.replace(" ", SPACE) if text else ""
         mixed = _mix_one((key ^ seed * 0x632BE59BD9B4E019) + int(_BASE))
-        rows.append(_Row(np.array([index.setdefault(u, len(index)) for u in vocabulary.units.findall(body)], np.int64), mixed))
+        units = vocabulary.units.findall(body)
+        for u in set(units).difference(index):
+            index[u] = len(index)
+        rows.append(_Row(np.fromiter(map(index.__getitem__, units), np.int64, len(units)), mixed, k + 1))
     out: list[list] = [[] for _ in rows]
     if not index:
         return [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in rows]
@@ -310,6 +329,8 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
     for number in range(k):
         jobs = []
         for i, row in enumerate(rows):
+            while row.queue and row.queue[0][4] is None:  # a whole stretch of edges: split it first
+                _split(lattice, row)
             if row.queue:
                 bound, _, parent, t, excluded = heapq.heappop(row.queue)
                 jobs.append((i, -bound, parent, t, excluded))
@@ -319,70 +340,131 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
         for i, bound, parent, t, excluded in jobs:
             row = rows[i]
             salt = _U(_mix_one(row.key + (number + 1) * int(_BASE)))
-            head, occ, base, left = np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0, -np.inf
-            first = 0
+            head, occ, left, first = _NONE, _NONE, -np.inf, 0
             if parent >= 0:
-                edges, occs, _ = row.paths[parent]
-                slot = int(lattice.slot[edges[t]])
-                choice = np.arange(lattice.first[slot], lattice.first[slot + 1])
-                p = np.where(np.isin(choice, excluded), -np.inf, lattice.log_p[choice])
-                most = p.max()
-                p = np.exp(p - most)
-                u = _uniform_one(int(salt) ^ 0xA5A5A5A5A5A5A5A5)
-                chosen = int(choice[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), "right")), int(np.nonzero(p)[0][-1]))])
-                base = float(lattice.log_p[edges[:t]].sum())
+                edges, occs, _, _ = row.paths[parent]
+                slot = lattice.slot[edges[t]]
+                low, high = int(lattice.first[slot]), int(lattice.first[slot + 1])
+                open_ = [e for e in range(low, high) if e not in excluded]
+                p = [float(lattice.log_p[e]) for e in open_]
+                most = max(p)
+                p = [math.exp(v - most) for v in p]
+                mark, at = _uniform_one(int(salt) ^ 0xA5A5A5A5A5A5A5A5) * sum(p), 0
+                while at < len(p) - 1 and mark >= p[at]:
+                    mark -= p[at]
+                    at += 1
+                chosen = open_[at]
+                others = sum(v for k_, v in enumerate(p) if k_ != at)
+                left = float(lattice.log_p[edges[:t]].sum()) + most + math.log(others) if others > 0 else -np.inf
                 excluded = (*excluded, chosen)
-                others = p[~np.isin(choice, excluded)].sum()
-                left = base + most + np.log(others) if others > 0 else -np.inf
                 head, occ = np.append(edges[:t], chosen), occs[: t + 1]
                 first = int(occs[t]) + 1
-                starts.append(np.array([lattice.next[chosen]]))
+                starts.append(lattice.next[chosen : chosen + 1])
                 seeds.append(salt + _mix(np.array([first - 1], _U)))
             units = row.units[first:]
             starts.append(lattice.start[units])
             seeds.append(salt + _mix(np.arange(first, first + len(units)).astype(_U)))
-            heads.append((head, occ, base, left, excluded, first - (parent >= 0), len(units) + (parent >= 0)))
+            heads.append((head, occ, left, excluded, first - (parent >= 0), len(units) + (parent >= 0)))
         drawn, counts = lattice.walk(np.concatenate(starts), np.concatenate(seeds))
         ends = np.cumsum(counts)
         at = edge_at = 0
-        for (i, bound, parent, t, _), (head, occ, _, left, excluded, first, n) in zip(jobs, heads):
+        for (i, bound, parent, t, _), (head, occ, left, excluded, first, n) in zip(jobs, heads):
             row = rows[i]
             mine = counts[at : at + n]
             stop = int(ends[at + n - 1]) if n else edge_at
-            edges = np.concatenate([head, drawn[edge_at:stop]])
-            occs = np.concatenate([occ, np.repeat(np.arange(first, first + n), mine)])
+            edges = np.concatenate([head, drawn[edge_at:stop]]) if len(head) else drawn[edge_at:stop]
+            occs = np.repeat(np.arange(first, first + n), mine)
+            occs = np.concatenate([occ, occs]) if len(occ) else occs
             at, edge_at = at + n, stop
-            log_p = lattice.log_p[edges]
-            upto = np.cumsum(log_p)
-            path = len(row.paths)
-            row.paths.append((edges, occs, (float(upto[-1]), bound)))
+            upto = np.cumsum(lattice.log_p[edges])
+            row.paths.append((edges, occs, upto, bound))
             # sets that leave this path after its head, and what remains where the head left its own
-            fresh = len(head)
-            phi = (upto - log_p + lattice.rest[edges])[fresh:]
-            key = _U((row.key ^ ((number + 1) * 0xC2B2AE3D27D4EB4F)) & _MASK)
-            bounds = _truncated(phi, bound, _uniform(key + np.arange(1, len(phi) + 1).astype(_U) * _BASE))
-            best = np.argpartition(-bounds, k)[: k + 1] if len(bounds) > k + 1 else np.arange(len(bounds))
-            for b in best:
-                row.push(float(bounds[b]), path, int(fresh + b), (int(edges[fresh + b]),))
+            key = (row.key ^ ((number + 1) * 0xC2B2AE3D27D4EB4F)) & _MASK
+            row.salts.append(key)
+            _push(lattice, row, len(row.paths) - 1, len(head), bound)
             if left > -np.inf:
-                row.push(float(_truncated(left, bound, _uniform_one(int(key)))), path, t, excluded)
+                row.push(float(_truncated(left, bound, _uniform_one(key))), len(row.paths) - 1, t, excluded)
     for i, row in enumerate(rows):
         if not len(row.units):
             out[i] = [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
             continue
         threshold = -row.queue[0][0] if row.queue else -np.inf
-        for edges, _, (log_p, perturbed) in row.paths:
+        for edges, _, upto, perturbed in row.paths:
+            log_p = float(upto[-1])
             d = log_p - threshold
             inclusion = d if d < -30 else float(np.log(-np.expm1(-np.exp(min(d, 700.0)))))
             out[i].append((vocabulary.expand(lattice.piece[edges]).astype(np.int32), log_p, perturbed, inclusion))
     return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sample, ids array<int>, log_p, perturbed, log_inclusion), samples from 1, without a shuffle."""
+_NONE = np.zeros(0, np.int64)
+_STRETCH = 64
+
+
+def _bounds(lattice: Lattice, row: _Row, path: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log mass of the sets that leave a path at each of the next edges, and, last, anywhere behind them."""
+    edges, _, upto, _ = row.paths[path]
+    part = edges[start : start + _STRETCH]
+    phi = upto[start : start + len(part)] - lattice.log_p[part] + lattice.rest[part]
+    stop = start + len(part)
+    if stop < len(edges):
+        ahead = float(upto[-1] - upto[stop - 1])  # log probability of the rest of the path, given its start
+        tail = upto[stop - 1] + (math.log(-math.expm1(ahead)) if ahead < 0 else -np.inf)
+        phi = np.append(phi, tail)
+    noise = _uniform(_U(row.salts[path]) + np.arange(start + 1, start + 1 + len(phi)).astype(_U) * _BASE)
+    return phi, noise
+
+
+def _offer(row: _Row, path: int, start: int, edges: np.ndarray, bounds: np.ndarray) -> None:
+    for k in np.argsort(-bounds, kind="stable")[: row.most].tolist():  # no more can come among the k + 1 largest
+        at = start + k
+        row.push(float(bounds[k]), path, at, (int(edges[at]),) if k < _STRETCH else None)
+
+
+def _push(lattice: Lattice, row: _Row, path: int, start: int, top: float) -> None:
+    """Queue the sets that leave a path from `start` on: edge by edge at first, then the rest as one set."""
+    edges = row.paths[path][0]
+    if start < len(edges):
+        phi, noise = _bounds(lattice, row, path, start)
+        _offer(row, path, start, edges, _truncated(phi, top, noise))
+
+
+def _split(lattice: Lattice, row: _Row) -> None:
+    """Replace the first set, a stretch behind an edge, by the sets that it is made of.
+
+    One of them, drawn by its mass, has the stretch's bound; the others' bounds are under it.
+    """
+    bound, _, path, start, _ = heapq.heappop(row.queue)
+    edges = row.paths[path][0]
+    phi, noise = _bounds(lattice, row, path, start)
+    p = np.cumsum(np.exp(phi - phi.max()))
+    chosen = min(int(np.searchsorted(p, _uniform_one(row.salts[path] ^ (start * 0x9E3779B97F4A7C15)) * p[-1], "right")), int(np.flatnonzero(phi > -np.inf)[-1]))
+    bounds = _truncated(phi, -bound, noise)
+    bounds[chosen] = -bound
+    _offer(row, path, start, edges, bounds)
+
+
+def _spelled(ids: pa.Array, spelled: pa.Array) -> pa.Array:
+    """The texts that lists of piece ids spell."""
+    ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelled.take(ids.flatten())), b"")
+    led = pc.equal(pc.binary_slice(joined, 0, 1), b" ")
+    text = pc.if_else(led, pc.binary_slice(joined, 1, 2**31 - 1), joined)
+    try:
+        return text.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that spell no valid text
+        return pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, sample, ids array<int>, log_p, perturbed, log_inclusion), samples from 1, without a shuffle.
+
+    With `decoded`, also the text that the ids spell, from the ids alone, in the same pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = pa.array(shared.value.spelling(), pa.binary())
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -397,13 +479,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, i
                 who, number, pieces, log_p, perturbed, inclusion = zip(*flat)
                 offsets = np.cumsum([0, *map(len, pieces)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
-                yield pa.record_batch(
-                    [pa.array(who, pa.int64()), pa.array(number, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64())],
-                    ["doc_id", "sample", "ids", "log_p", "perturbed", "log_inclusion"],
-                )
+                columns = [pa.array(who, pa.int64()), pa.array(number, pa.int32()), lists, pa.array(log_p, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64())]
+                yield pa.record_batch(columns + [_spelled(lists, spelling)] * decoded, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double")
+    names = ["doc_id", "sample", "ids", "log_p", "perturbed", "log_inclusion"] + ["text"] * decoded
+    return rows.mapInArrow(run, "doc_id long, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -412,13 +493,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = pa.array(shared.value.spelling(), pa.binary())
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):  # a batch's ids are never all Python numbers at once
-                batch = whole.slice(start, 256)
-                ids = batch.column(at)
-                flat, ends = np.asarray(ids.flatten()), np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
-                texts = [shared.value.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
-                yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            for start in range(0, whole.num_rows, 512):  # the spelled pieces of some rows at a time
+                batch = whole.slice(start, 512)
+                yield pa.record_batch([*batch.columns, _spelled(batch.column(at).fill_null([]), spelled)], [*batch.schema.names, "text"])
 
     from pyspark.sql import types as T
 
