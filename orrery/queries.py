@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions.graph import connected, rings
 from .functions.selection import select
-from .operators import areas, crossings, dense, kinetics, manipulate, measures, neighbours
+from .operators import areas, clusters, crossings, dense, kinetics, manipulate, measures, neighbours, networks, shapes, springs
+from .plans import blocks
 from .schema import N_ATOMS, atoms, frames, points, reference, series, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,6 @@ SERIES = """ranked as (
   select user_id as traj_id, cast(row_number() over (partition by user_id order by ts, event_id) as integer) as t, node, ts, value
   from events join ranked using (event_type)
 )"""
-EDGES = {"x": "x", "y": "y", "z": "z"}
 
 
 def query(sql: str | None = None):
@@ -383,10 +383,10 @@ def area_correlation(spark, sf_dir):
 
 @query(
     """with s as (select min(value) as low, greatest(floor((max(value) - min(value)) / 25 + 0.5), 1) as bins from events), b as (select case when floor((value - low) / 25) < bins then cast(floor((value - low) / 25) as bigint) end as bin, value from events, s)
-select bin, count(*) as n, round(avg(value), 4) as mean from b group by bin"""
+select coalesce(bin, -1) as bin, count(*) as n, round(avg(value), 4) as mean from b group by 1"""
 )
 def area_clusters(spark, sf_dir):
-    return areas.bin_sizes(table(spark, sf_dir, "events"), "value", 25.0).select("bin", "n", r(F.col("mean")).alias("mean"))
+    return areas.bin_sizes(table(spark, sf_dir, "events"), "value", 25.0).select(F.coalesce("bin", F.lit(-1)).alias("bin"), "n", r(F.col("mean")).alias("mean"))
 
 
 # --- state ----------------------------------------------------------------------------------
@@ -525,3 +525,179 @@ select frame, a as atom_id, min(c) as component from g group by frame, a"""
 def contact_components(spark, sf_dir):
     met = neighbours.near_pairs(points(frames(spark, sf_dir)), 0.15, ["frame"])
     return connected(met.select("frame", F.col("i").alias("a"), F.col("j").alias("b")), ["frame"]).select("frame", F.col("node").cast("long").alias("atom_id"), F.col("component").cast("long").alias("component"))
+
+
+# --- clustering -----------------------------------------------------------------------------
+
+NEAR = f"""p as (select a.frame as i, b.frame as j, sqrt(sum({d2('a', 'b')}) / 21) as d from fl a join fl b on a.atom_id = b.atom_id and a.frame < b.frame group by a.frame, b.frame)"""
+
+
+@query(f"with {POINTS}, {NEAR} select i, j, round(d, 5) as d from p where d < 0.26")
+def near_frames(spark, sf_dir):
+    return clusters.near_frames(frames(spark, sf_dir), 0.26, "in_place").select("i", "j", r(F.col("d"), 5).alias("d"))
+
+
+@query(
+    f"""with {POINTS}, s as (select a.frame as i, b.frame as j, sum(a.x * b.x) as ab, sum(a.x * a.x) as aa, sum(b.x * b.x) as bb from fl a join fl b on a.atom_id = b.atom_id and a.frame < b.frame group by a.frame, b.frame)
+select i, j, round(1 - ab / (aa + bb - ab), 5) as d from s where 1 - ab / (aa + bb - ab) < 0.6"""
+)
+def near_frames_tanimoto(spark, sf_dir):
+    return clusters.near_frames(frames(spark, sf_dir), 0.6, "tanimoto").select("i", "j", r(F.col("d"), 5).alias("d"))
+
+
+@query()
+def quality_threshold(spark, sf_dir):
+    return clusters.quality_threshold(clusters.near_frames(frames(spark, sf_dir), 0.26, "in_place"))
+
+
+@query()
+def leader(spark, sf_dir):
+    return clusters.leader(clusters.sampled(frames(spark, sf_dir), 1), 0.24, "in_place")
+
+
+@query()
+def hierarchical(spark, sf_dir):
+    return clusters.hierarchical(frames(spark, sf_dir), 0.28, "in_place")
+
+
+@query(
+    f"""with {POINTS}, p as (select a.frame, b.frame as c, sqrt(sum({d2('a', 'b')}) / 21) as d from fl a join fl b on a.atom_id = b.atom_id and b.frame <= 8 group by a.frame, b.frame)
+select frame, case when min(d) < 0.25 then arg_min(c, d) else 0 end as cluster, case when min(d) < 0.25 then round(min(d), 5) else -1.0 end as distance from p group by frame"""
+)
+def assign_to_centres(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    found = clusters.assign(whole, clusters.coordinates(whole, range(1, 9)), 0.25, "in_place")
+    return found.select("frame", F.coalesce("cluster", F.lit(0)).alias("cluster"), F.coalesce(r(F.col("distance"), 5), F.lit(-1.0)).alias("distance"))
+
+
+@query(
+    f"""with {POINTS}, {NEAR}, m as (select vec_id + 1 as frame, label from embeddings), s as (
+  select m.label, m.frame, sum(p.d) as s from m join (select i, j, d from p union all select j, i, d from p) p on p.i = m.frame join m o on o.frame = p.j and o.label = m.label group by m.label, m.frame)
+select cast(label as integer) as cluster, arg_min(frame, s) as center from s group by label"""
+)
+def cluster_centres(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    return clusters.centres(clusters.near_frames(whole, 10.0, "in_place"), whole.select("frame", F.col("traj_id").alias("cluster")))
+
+
+# --- structure networks ---------------------------------------------------------------------
+
+NET = networks.Network(residue=tuple(k // 3 for k in range(N_ATOMS)), norm=(3.0,) * 7, number=tuple(range(1, 8)), cutoff=0.2, proximity=1)
+LINKED = f"""{POINTS}, n as (select a.frame, (a.atom_id - 1) // 3 + 1 as r1, (b.atom_id - 1) // 3 + 1 as r2, count(*) as n_pairs from fl a join fl b on a.frame = b.frame
+  where (a.atom_id - 1) // 3 < (b.atom_id - 1) // 3 and sqrt({d2('a', 'b')}) <= 0.2 group by all), li as (select *, 100.0 * n_pairs / 3 as strength from n)"""
+
+
+@query(f"with {LINKED} select frame, r1, r2, n_pairs, round(strength, 4) as strength from li")
+def interactions(spark, sf_dir):
+    return networks.interactions(frames(spark, sf_dir), NET).select("frame", "r1", "r2", "n_pairs", r(F.col("strength")).alias("strength"))
+
+
+@query(
+    f"with {LINKED} select r1, r2, round(sum(strength) / (select count(*) from embeddings), 4) as mean_strength, round(count(*) * 100.0 / (select count(*) from embeddings), 4) as frequency from li group by r1, r2"
+)
+def interaction_averages(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    return networks.averages(networks.interactions(whole, NET), whole.count()).select("r1", "r2", r(F.col("mean_strength")).alias("mean_strength"), r(F.col("frequency")).alias("frequency"))
+
+
+@query(
+    f"""with {LINKED}, e as (select frame, r1 as residue from li where strength >= 60 union all select frame, r2 from li where strength >= 60), d as (select frame, residue, count(*) as degree from e group by all)
+select residue, round(count(*) * 100.0 / (select count(*) from embeddings), 4) as frequency from d where degree > 2 group by residue"""
+)
+def hubs(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    return networks.hubs(networks.interactions(whole, NET), 60.0, whole.count(), 2).select("residue", r(F.col("frequency")).alias("frequency"))
+
+
+@query(
+    f"""with recursive {LINKED}, e as (select frame, r1 as a, r2 as b from li where strength >= 60 union select frame, r2, r1 from li where strength >= 60),
+g as (select frame, a, a as c from e union select e.frame, e.b, g.c from g join e on e.frame = g.frame and e.a = g.a where g.c < e.b), k as (select frame, a, min(c) as c from g group by frame, a),
+s as (select frame, c, count(*) as n from k group by frame, c) select frame, max(n) as size from s group by frame"""
+)
+def largest_component(spark, sf_dir):
+    return networks.largest_component(networks.interactions(frames(spark, sf_dir), NET), 60.0)
+
+
+@query()
+def critical_strength(spark, sf_dir):
+    return networks.critical_strength(frames(spark, sf_dir), NET, 2, 0.0, 300.0)
+
+
+@query(
+    f"""with recursive {LINKED}, e as (select frame, r1 as a, r2 as b from li where strength >= 60 union select frame, r2, r1 from li where strength >= 60),
+p as (select frame, [1::bigint] as p from (select distinct frame from li where strength >= 60) union all select p.frame, list_append(p, b) from p join e on e.frame = p.frame and e.a = p[-1] where not list_contains(p, b) and p[-1] <> 7 and len(p) < 7),
+f as (select frame, p, len(p) - 1 as length from p where p[-1] = 7), s as (select frame, min(length) as m from f group by frame)
+select f.frame, array_to_string(p, '-') as path, cast(length as double) as length from f join s on s.frame = f.frame and s.m = f.length"""
+)
+def shortest_paths(spark, sf_dir):
+    return networks.paths(networks.interactions(frames(spark, sf_dir), NET), 1, 7, 60.0).select("frame", "path", "length")
+
+
+# --- shapes and springs ---------------------------------------------------------------------
+
+RADII = [0.12] * N_ATOMS
+
+
+@query()
+def tilt(spark, sf_dir):
+    return shapes.tilt(frames(spark, sf_dir), range(1, 11), range(11, 22)).select("frame", r(F.col("tilt")).alias("tilt"))
+
+
+@query()
+def twist(spark, sf_dir):
+    return shapes.twist(frames(spark, sf_dir), ALL, ([1, 2, 3], [4, 5, 6]), ([10, 11], [12, 13])).select("frame", r(F.col("twist")).alias("twist"))
+
+
+@query()
+def dotted_surface(spark, sf_dir):
+    return shapes.dotted_surface(frames(spark, sf_dir), RADII, None, 0.05, 1).select("frame", r(F.col("area")).alias("area"))
+
+
+@query()
+def analytic_surface(spark, sf_dir):
+    return shapes.analytic_surface(frames(spark, sf_dir), RADII, [1, 2, 3], 0.05).select("frame", r(F.col("area")).alias("area"))
+
+
+@query(
+    f"""with {POINTS}, o as (select unnest(range(-4, 4)) as o), v as (select distinct frame, atom_id <= 5 as lig, floor(x / 0.05) + a.o as i, floor(y / 0.05) + b.o as j, floor(z / 0.05) + c.o as k
+  from fl, o a, o b, o c where ((floor(x / 0.05) + a.o + 0.5) * 0.05 - x) ** 2 + ((floor(y / 0.05) + b.o + 0.5) * 0.05 - y) ** 2 + ((floor(z / 0.05) + c.o + 0.5) * 0.05 - z) ** 2 <= 0.12 * 0.12),
+u as (select frame, i, j, k, bool_or(lig) as l, bool_or(not lig) as r from v group by all)
+select frame, round(count(*) * 0.05 ** 3, 4) as volume, round(count(*) filter (l) * 0.05 ** 3, 4) as ligand, round(count(*) filter (l and r) * 0.05 ** 3, 4) as overlap from u group by frame"""
+)
+def volumes(spark, sf_dir):
+    found = shapes.volumes(frames(spark, sf_dir), RADII, [1, 2, 3, 4, 5], 0.05, 0.1)
+    return found.select("frame", *[r(F.col(c)).alias(c) for c in ("volume", "ligand", "overlap")])
+
+
+@query(
+    f"""with {POINTS} select a.frame, round(2 * sum(case when b.atom_id = a.atom_id + 1 then 10.0 when sqrt({d2('a', 'b')}) < 0.3 then 1.0 else 0.0 end), 4) as trace
+from fl a join fl b on a.frame = b.frame and a.atom_id < b.atom_id group by a.frame"""
+)
+def spring_modes(spark, sf_dir):
+    return springs.per_frame_modes(frames(spark, sf_dir), springs.linear(0.3)).select("frame", r(F.col("trace")).alias("trace"))
+
+
+@query(
+    f"""with {POINTS}, m as (select frame, sum(atom_id * x) / 231 as mx, sum(atom_id * y) / 231 as my, sum(atom_id * z) / 231 as mz, avg(x) as cx from fl group by frame), rf as (select * from fl where frame = 1)
+select fl.frame, round(sqrt(var_pop(fl.x) + var_pop(fl.y) + var_pop(fl.z)), 5) as rg, round(any_value(cx), 5) as com_x, round(sqrt(sum({d2('fl', 'rf')}) / 21), 5) as dev from fl join m on fl.frame = m.frame join rf on rf.atom_id = fl.atom_id group by fl.frame"""
+)
+def analysis_blocks(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    structure = spark.range(1, N_ATOMS + 1).select(F.col("id").alias("atom_id"), F.lit("A").alias("chain_id"), F.lit("S").alias("seg_id"), F.floor((F.col("id") - 1) / 3).alias("res_seq"), F.lit("C").alias("atom_name"))
+    text = """
+    BEGIN rgyr
+      --TITLE rg
+      --SELE /A/*/*/*
+    END
+    BEGIN com          # the centre, of which one column is kept
+      --TITLE com
+      --SELE /*/S/*/*
+    END
+    BEGIN rmsd
+      --TITLE dev
+      --SELE /*/*/*/C
+      --NOSUPER
+    END
+    """
+    rows = blocks.run(text, blocks.context(whole, structure))["frames"]
+    return rows.select("frame", *[r(F.col(c), 5).alias(c) for c in ("rg", "com_x", "dev")])
