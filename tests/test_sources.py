@@ -66,3 +66,29 @@ def test_dcd(spark, tmp_path, boxed):
     assert np.allclose([[r["x"], r["y"], r["z"]] for r in got], xyz)
     assert (got[0]["box"]["c"] == 30.0) if boxed else got[0]["box"] is None
     assert dcd.read_header(path).frames == 23
+
+
+@pytest.mark.parametrize("atoms", [5, 40, 300])
+def test_xtc(spark, tmp_path, atoms):
+    from orrery.sources import xtc
+
+    rng = np.random.default_rng(2)
+    walk = np.cumsum(rng.normal(0, 0.6, (7, atoms, 3)) + (rng.random((7, atoms, 1)) < 0.1) * 20, axis=1)
+    path = str(tmp_path / "t.xtc")
+    assert xtc.write(path, ((*f.T, (50.0, 60.0, 70.0)) for f in walk)) == 7
+    spark.dataSource.register(xtc.XtcSource)
+    got = spark.read.format("xtc").option("framesperpartition", "3").load(path).orderBy("frame").collect()
+    assert [r["frame"] for r in got] == list(range(1, 8))
+    assert np.allclose(np.array([[r["x"], r["y"], r["z"]] for r in got]).transpose(0, 2, 1), walk, atol=0.0051)
+    assert got[0]["box"]["b"] == pytest.approx(60.0)
+
+
+def test_packed_runs_and_wide_ranges():
+    from orrery.sources import xtc
+
+    rng = np.random.default_rng(3)
+    for scale in (3, 200, 30_000_000):
+        points = np.cumsum(rng.integers(-scale, scale + 1, (200, 3)), axis=0)
+        body, low, high, small = xtc.pack(points)
+        assert (xtc.unpack(body, 200, low, high, small) == points).all()
+    assert len(xtc.pack(np.cumsum(rng.integers(-3, 4, (200, 3)), axis=0))[0]) < 200 * 4
