@@ -5,8 +5,9 @@ binary decisions; each decision node of the byte has its own context tree over t
 bytes, up to `DEPTH` of them. A tree node weighs its Krichevsky-Trofimov estimate against the
 product of its children, half and half, so the root mixes the estimates of all depths:
 Pw(s) = (Pkt(s) + prod Pw(children)) / 2. The trees are learned once, from the counts of all
-training texts, and then score every text; a decision that the deepest context has never met is
-predicted by the deepest one that has.
+training texts, and then score every text. A byte that the deepest context has met takes the mixed
+predictions of its eight decisions; what probability those leave goes to the bytes it has never met,
+in proportion to the next shorter context's predictions, so probabilities sum to one.
 
 A context is a tree node if it holds at least one in `MAX_CONTEXTS` of the training bytes (and at
 least two), so each depth has at most MAX_CONTEXTS nodes however large the corpus; what a node's
@@ -26,7 +27,6 @@ byte has probability 1/256. Only id and text columns are read.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,84 +42,164 @@ DEPTH = 6
 END = 0xFF
 MAX_CONTEXTS = 1 << 18
 MAX_WORDS = 1 << 18
-_FLUSH = 400_000
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 WORD, GRAM = 0, 1
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def _bytes_table(of: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer(of, np.uint8)] = True
+    return table
+
+
+_SPACE = _bytes_table(b" \t\n\v\f\r")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[_SPACE] = 32
+# Words are hashed by sums of random numbers for their bytes times powers of an odd number.
+_POWER = 0x9E3779B97F4A7C15
+_RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+END_WORD = 1  # stands for the end token among word hashes
+
+
+class Texts:
+    """Some texts as one array of bytes: each its words, ASCII case folded, by single spaces, and an end byte."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        raw = np.frombuffer(b"".join([(t or b"").strip(b" \t\n\v\f\r") + _END for t in texts]), np.uint8)
+        space = _SPACE[raw]
+        keep = ~space
+        keep[:-1] |= ~space[1:]  # of a run of spaces the last stays
+        self.data = _LOWER[raw[keep]]
+        self.ends = np.nonzero(self.data == END)[0]
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])
+        self.sizes = self.ends + 1 - self.starts
+
+    def grams(self, depth: int = DEPTH, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Key of every byte with its `depth` predecessors (zero before the start of its text).
+
+        The predicted byte is the key's lowest, its predecessors follow in order of nearness.
+        """
+        lead = min(start, depth)
+        data = self.data[start - lead : stop].astype(_U)
+        keys = data.copy()
+        for j in range(1, depth + 1):
+            keys[j:] |= data[:-j] << _U(8 * j)
+        keys = keys[lead:]
+        for j in range(depth):  # what lies before a text's start is no context
+            at = self.starts + j - start
+            at = at[(at >= 0) & (at < len(keys)) & (j < self.sizes)]
+            keys[at] &= _low(j + 1)
+        return keys
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word, and the number of its text."""
+        ends = np.nonzero((self.data == 32) | (self.data == END))[0]
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        full = ends > starts
+        starts, ends = starts[full], ends[full]
+        h = np.empty(len(starts), _U)
+        a = 0
+        while a < len(starts):  # some words at a time, so that their powers stay few
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + _BYTES // 2)))
+            low = starts[a]
+            part = self.data[low : ends[b - 1]]
+            sums = np.concatenate([[_U(0)], np.cumsum(_RANDOM[part] * _powers(len(part)), dtype=_U)])
+            h[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * _powers(len(part), inverse=True)[starts[a:b] - low]
+            a = b
+        h += (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(32)
+        h *= _U(0xC2B2AE3D27D4EB4F)
+        h ^= h >> _U(29)
+        return h, np.searchsorted(self.ends, starts)
+
+
+_END = bytes([END])
+_POWERS: dict[bool, np.ndarray] = {}
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """1, b, b^2 ... modulo 2^64, of the base or of its inverse."""
+    found = _POWERS.get(inverse)
+    if found is None or len(found) < n:
+        base = pow(_POWER, -1, 1 << 64) if inverse else _POWER
+        found = np.empty(max(n, 1 << 16), _U)
+        found[0] = 1
+        done = 1
+        while done < len(found):
+            step = min(done, len(found) - done)
+            found[done : done + step] = found[:step] * _U(pow(base, done, 1 << 64))
+            done += step
+        _POWERS[inverse] = found
+    return found[:n]
+
+
+def _hash(body: bytes) -> int:
+    from xxhash import xxh64_intdigest
 
+    return xxh64_intdigest(body)
 
-def grams(bodies: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Key of every byte with its `depth` predecessors (zero before the start), and bytes per body.
 
-    The predicted byte is the key's lowest, its predecessors follow in order of nearness.
-    """
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    pad = b"\0" * depth
-    data = np.frombuffer(pad + pad.join(bodies), np.uint8).astype(_U)
-    n = len(data) - depth
-    keys = data[depth:].copy()
-    for j in range(1, depth + 1):
-        keys |= data[depth - j : depth - j + n] << _U(8 * j)
-    keep = np.ones(n, bool)
-    ends = np.cumsum(sizes + depth)[:-1] - depth
-    keep[(ends[:, None] + np.arange(depth)).ravel()] = False
-    return keys[keep], sizes
-
-
-def _hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
+def _grouped(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes together, one text at least."""
+    start = 0
+    while start < len(texts):
+        stop, held = start, 0
+        while stop < len(texts) and (stop == start or held < most):
+            held += len(texts[stop] or b"")
+            stop += 1
+        yield start, stop
+        start = stop
 
-    return xxh64_intdigest(word)
 
+_HELD = 2_000_000  # counts that a task holds before it adds them up
 
-def tallies(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): counts of words (by hash) and of byte grams over all rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        bodies: list[bytes] = []
-        ends = held = 0
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
-        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-        def flush_words() -> pa.RecordBatch:
-            keys = np.array([_hash(w) for w in words], _U)
-            out = rows(WORD, keys, np.fromiter(words.values(), np.int64, len(words)))
-            words.clear()
-            return out
+def tallies(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n): counts of words (by hash) and of byte grams over all rows."""
 
-        def flush_grams() -> pa.RecordBatch:
-            keys, n = np.unique(grams(bodies, depth)[0], return_counts=True)
-            bodies.clear()
-            return rows(GRAM, keys, n)
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _OPEN.clear()  # a worker that scored before gives its model's memory back
+        ends = 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                found = tokens(text)
-                words.update(found)
-                ends += 1
-                bodies.append(b" ".join(found) + bytes([END]))
-                held += len(bodies[-1])
-                if len(words) > _FLUSH:
-                    yield flush_words()
-                if held > 8 * _BYTES:
-                    yield flush_grams()
-                    held = 0
-        if words:
-            yield flush_words()
-        if bodies:
-            yield flush_grams()
+            bodies = batch.column(0).cast(pa.binary()).to_pylist()
+            for start, stop in _grouped(bodies, 2 * _BYTES):
+                texts = Texts(bodies[start:stop])
+                ends += stop - start
+                held[WORD].append(np.unique(texts.words()[0], return_counts=True))
+                for at in range(0, len(texts.data), _BYTES):  # piece by piece, as keys take eight times the text
+                    held[GRAM].append(np.unique(texts.grams(depth, at, at + _BYTES), return_counts=True))
+                for kind, parts in held.items():
+                    if len(parts) > 1 and sum(len(k) for k, _ in parts) > _HELD:
+                        parts[:] = [_merged(parts)]
+                        if len(parts[0][0]) > _HELD // 2:
+                            yield rows(kind, *parts.pop())
+        for kind, parts in held.items():
+            if parts:
+                yield rows(kind, *_merged(parts))
         if ends:
-            yield rows(WORD, np.array([_hash(bytes([END]))], _U), np.array([ends]))
+            yield rows(WORD, np.array([END_WORD], _U), np.array([ends]))
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind byte, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # a task's keys are added up already, so they are dealt out as they are, without a hash map on the way
+    return counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -152,10 +232,10 @@ class Table:
     """Open-addressed map from 64-bit keys to doubles, read many keys at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
         self.shift, self.mask = _U(64 - bits), _U((1 << bits) - 1)
         self.keys = np.full(1 << bits, _EMPTY)
-        self.values = np.zeros(1 << bits)
+        self.values = np.zeros(1 << bits, values.dtype)
         slot = (keys * _U(0x9E3779B97F4A7C15)) >> self.shift
         while len(keys):
             _, first = np.unique(slot, return_index=True)
@@ -167,19 +247,19 @@ class Table:
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value, whether present) of each key."""
-        slot = (keys * _U(0x9E3779B97F4A7C15)) >> self.shift
-        met = self.keys[slot]
+        slot = ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+        met = np.take(self.keys, slot, mode="wrap")
         there = met == keys
-        values = self.values[slot]
-        left = np.nonzero(~there & (met != _EMPTY))[0]
-        slot = slot[left]
+        values = np.take(self.values, slot, mode="wrap")
+        left = np.flatnonzero(~there & (met != _EMPTY))
+        slot, wanted = slot[left], keys[left]
         while len(left):
-            slot = (slot + _U(1)) & self.mask
-            met = self.keys[slot]
-            hit = met == keys[left]
+            slot = (slot + 1) & int(self.mask)
+            met = np.take(self.keys, slot, mode="wrap")
+            hit = np.flatnonzero(met == wanted)
             values[left[hit]], there[left[hit]] = self.values[slot[hit]], True
-            on = ~hit & (met != _EMPTY)
-            left, slot = left[on], slot[on]
+            on = np.flatnonzero((met != wanted) & (met != _EMPTY))
+            left, slot, wanted = left[on], slot[on], wanted[on]
         return values, there
 
 
@@ -189,28 +269,40 @@ def _low(depth: int) -> np.uint64:
 
 @dataclass
 class Model:
-    """Predictions of the weighted trees: by whole bytes where met in training, else by decisions."""
+    """Predictions of the weighted trees for whole bytes.
+
+    A byte that the deepest context has met is predicted there. What probability its met bytes leave
+    is shared by the others in proportion to the next shorter context's predictions.
+    """
 
     depth: int
-    contexts: Table  # (depth, context) that are tree nodes
-    whole: Table  # (depth, context, byte) -> log10 probability
-    nodes: list[list[tuple[np.ndarray, np.ndarray]]]  # by decision and depth: (context, byte's head), probability of a one
+    whole: Table  # (depth, context, byte) -> log10 probability, for bytes met after a context
+    contexts: Table  # (depth, context) -> log10 of the share of the shorter context's prediction that a new byte gets
 
     @staticmethod
-    def of(levels: list[np.ndarray], ones: list[list[np.ndarray]]) -> Model:
-        """From the sorted grams of each depth and, by decision and depth, its nodes' probabilities of a one."""
-        nodes, whole = [], [np.zeros(len(keys)) for keys in levels]
-        for k in range(8):
-            nodes.append([])
-            for d, keys in enumerate(levels):
-                heads, first = _nodes(keys, k)
-                p = ones[k][d].astype(float)
-                nodes[k].append((heads, p))
-                each = np.repeat(p, np.diff(np.append(first, len(keys))))
-                whole[d] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
-        contexts = np.concatenate([Model.tag(d, _nodes(keys, 0)[0] >> _U(8)) for d, keys in enumerate(levels)])
-        grams = np.concatenate([Model.tag(d, keys) for d, keys in enumerate(levels)])
-        return Model(len(levels) - 1, Table(contexts, np.zeros(len(contexts))), Table(grams, np.concatenate(whole)), nodes)
+    def of(levels: list[np.ndarray], log_p: list[np.ndarray]) -> Model:
+        """From the sorted grams of each depth and the log10 probabilities of their bytes."""
+        log_p = [v.astype(float) for v in log_p]
+        missing = np.setdiff1d(np.arange(256, dtype=_U), levels[0])
+        rest = max(1 - (10 ** log_p[0]).sum(), 1e-12) if len(levels[0]) else 1.0
+        grams = [Model.tag(0, np.concatenate([levels[0], missing]))]
+        values = [np.concatenate([log_p[0], np.full(len(missing), np.log10(rest / max(1, len(missing))))])]
+        contexts, shares = [], []
+        for d in range(1, len(levels)):
+            keys = levels[d]
+            if not len(keys):
+                continue
+            names, first = _nodes(keys, 0)
+            up = _find(levels[d - 1], (keys >> _U(8) & _low(d - 1)) << _U(8) | keys & _U(255))
+            left = 1 - np.add.reduceat(10 ** log_p[d], first)
+            above = 1 - np.add.reduceat(10 ** log_p[d - 1][up], first)
+            contexts.append(Model.tag(d, names >> _U(8)))
+            shares.append(np.log10(np.maximum(left, 1e-9)) - np.log10(np.maximum(above, 1e-9)))
+            grams.append(Model.tag(d, keys))
+            values.append(log_p[d])
+        none = [np.zeros(0, _U)], [np.zeros(0)]
+        small = [np.concatenate(v).astype(np.float32) for v in (values, shares or none[1])]
+        return Model(len(levels) - 1, Table(np.concatenate(grams), small[0]), Table(np.concatenate(contexts or none[0]), small[1]))
 
     @staticmethod
     def opened(packed: bytes) -> Model:
@@ -219,9 +311,9 @@ class Model:
         if name not in _OPEN:
             from zstandard import ZstdDecompressor
 
-            levels, ones = pickle.loads(ZstdDecompressor().decompress(packed))
+            steps, log_p = pickle.loads(ZstdDecompressor().decompress(packed))
             _OPEN.clear()
-            _OPEN[name] = Model.of([np.cumsum(np.frombuffer(k, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U) for k in levels], ones)
+            _OPEN[name] = Model.of([np.cumsum(np.frombuffer(k, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U) for k in steps], log_p)
         return _OPEN[name]
 
     @staticmethod
@@ -230,41 +322,22 @@ class Model:
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's byte given its predecessors."""
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
+        out = np.zeros(len(keys), np.float64)
+        left, mine = None, keys
         for d in range(self.depth, -1, -1):
-            mine = keys[left] & _low(d + 1)
+            mine = mine & _low(d + 1)
             value, there = self.whole.get(self.tag(d, mine))
-            out[left[there]] = value[there]
-            left, mine = left[~there], mine[~there]
+            if left is None:
+                np.multiply(value, there, out=out)
+                left = np.flatnonzero(~there)
+                mine = mine[left]
+            else:
+                out[left[there]] += value[there]
+                left, mine = left[~there], mine[~there]
             if not len(left):
                 break
-            _, known = self.contexts.get(self.tag(d, mine >> _U(8)))
-            known |= d == 0
-            if known.any():
-                odd, back = np.unique(mine[known], return_inverse=True)
-                out[left[known]] = self.decisions(odd, d)[back]
-            left = left[~known]
-            if not len(left):
-                break
-        return out
-
-    def decisions(self, keys: np.ndarray, depth: int) -> np.ndarray:
-        """log10 probability by the eight decisions, each at the deepest context that has met it."""
-        out = np.zeros(len(keys))
-        byte, context = keys & _U(255), keys >> _U(8)
-        for k in range(8):
-            one = ((byte >> _U(7 - k)) & _U(1)) == 1
-            p = np.full(len(keys), 0.5)
-            open_ = np.arange(len(keys))
-            for d in range(depth, -1, -1):
-                table, value = self.nodes[k][d]
-                at = _find(table, _head(context[open_] & _low(d), byte[open_], k))
-                p[open_[at >= 0]] = value[at[at >= 0]]
-                open_ = open_[at < 0]
-                if not len(open_):
-                    break
-            out += np.log10(np.where(one, p, 1 - p))
+            share, known = self.contexts.get(self.tag(d, mine >> _U(8)))
+            out[left[known]] += share[known]
         return out
 
 
@@ -280,34 +353,35 @@ def _nodes(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return heads[first], first
 
 
-def pack(levels: list[np.ndarray], ones: list[list[np.ndarray]]) -> bytes:
-    """A model for broadcast: differences of sorted grams, byte by byte, and probabilities."""
+def pack(levels: list[np.ndarray], log_p: list[np.ndarray]) -> bytes:
+    """A model for broadcast: differences of sorted grams, byte by byte, and log probabilities."""
     from zstandard import ZstdCompressor
 
     steps = [np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for keys in levels]
-    return ZstdCompressor(level=6).compress(pickle.dumps((steps, ones)))
+    return ZstdCompressor(level=6).compress(pickle.dumps((steps, [v.astype(np.float32) for v in log_p])))
 
 
 _OPEN: dict[int, Model] = {}
 
 
-def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[list[np.ndarray]]:
-    """By decision and depth, the nodes' probabilities of a one, from gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
+def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """log10 probabilities of the bytes of gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
 
     Only grams of contexts that are tree nodes are given, and a node's parent is a node. Each of a
     byte's eight decisions has trees of its own, so they are weighed one after another; sorted
     grams keep a decision's nodes together, and sums run over neighbours.
     """
     depth = len(levels) - 1
-    found = []
+    found = [np.zeros(len(keys)) for keys, _ in levels]
     for k in range(8):
-        names, zeros, ones = [], [], []
+        names, zeros, ones, firsts = [], [], [], []
         for keys, n in levels:
             heads, first = _nodes(keys, k)
             bit = ((keys >> _U(7 - k)) & _U(1)) == 1
             both = np.add.reduceat(n.astype(float), first) if len(keys) else np.zeros(0)
             up = np.add.reduceat(np.where(bit, n, 0).astype(float), first) if len(keys) else np.zeros(0)
             names.append(heads)
+            firsts.append(first)
             ones.append(up)
             zeros.append(both - up)
         parent = [np.zeros(0, np.int64)]
@@ -325,18 +399,19 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[list[np.ndarray]]
             stay[d] = np.exp(own - np.log(2) - below)
             tail[d] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), np.nan)
         ahead, mixed = np.ones(len(names[0])), np.zeros(len(names[0]))
-        found.append([])
         for d in range(depth + 1):
             own = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
             last = own if d == depth else np.where(np.isnan(tail[d]), own, stay[d] * own + (1 - stay[d]) * tail[d])
-            p = (mixed + ahead * last).astype(np.float32)
-            found[k].append(np.clip(p, np.float32(1e-9), np.float32(1 - 1e-7)))
+            p = mixed + ahead * last
+            keys = levels[d][0]
+            each = np.repeat(p, np.diff(np.append(firsts[d], len(keys))))
+            found[d] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
             if d < depth:
                 mixed, ahead = (mixed + ahead * stay[d] * own)[parent[d + 1]], (ahead * (1 - stay[d]))[parent[d + 1]]
     return found
 
 
-def fit(counted: DataFrame, texts: int, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+def fit(counted: DataFrame, texts: int, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Learn the trees from tallies of so many texts: sorted grams of each depth, and probabilities.
 
     A depth's contexts are the strings found often enough among the grams of the depth before, so
@@ -380,61 +455,50 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     seen, distinct = totals["n"] or 0, totals["v"]
     divisor = np.log10(seen + distinct + 1)
-    end_count = words.where(F.col("key") == int(np.array([_hash(bytes([END]))], _U).view(np.int64)[0])).first()
+    end_count = words.where(F.col("key") == END_WORD).first()
     model = pack(*fit(counted, end_count["n"] if end_count else 0, depth, max_contexts))
     least = max(2, -(-seen // max_words))
-    common = words.where(F.col("n") >= least).toArrow()
+    common = words.where((F.col("n") >= least) & (F.col("key") != END_WORD)).toArrow()
     keys = np.asarray(common.column("key"), np.int64).view(_U) if common.num_rows else np.zeros(0, _U)
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((model, keys[order], np.log10(np.asarray(common.column("n"), float)[order] + 1) if common.num_rows else np.zeros(0)))
+    shared = spark.sparkContext.broadcast((model, Table(keys, np.log10(np.asarray(common.column("n"), float) + 1) if common.num_rows else np.zeros(0))))
     end_log, end_known = np.log10((end_count["n"] if end_count else 0) + 1), int(bool(end_count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, known, logs = shared.value
+        packed, known = shared.value
         trees = Model.opened(packed)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(texts):  # some texts at a time, so that keys take bounded memory
-                bodies, hashes, times, n_tokens, start = [], [], [], [], at
-                held = 0
-                while at < len(texts) and (at == start or held < _BYTES):
-                    found = tokens(texts[at])
-                    counts = Counter(found)
-                    hashes.append(np.array([_hash(w) for w in counts], _U))
-                    times.append(np.fromiter(counts.values(), np.int64, len(counts)))
-                    n_tokens.append(len(found) + 1)
-                    bodies.append(b" ".join(found) + bytes([END]))
-                    held += len(bodies[-1])
-                    at += 1
-                scores, sizes = _scores(trees, bodies)
+            for start, at in _grouped(texts, _BYTES):  # some texts at a time, so that keys take bounded memory
+                some = Texts(texts[start:at])
+                scores = _scores(trees, some)
                 ids = row + np.arange(start, at)
-                owner = np.repeat(ids, [len(h) for h in hashes])
-                keys, counts = np.concatenate(hashes), np.concatenate(times)
-                place = _find(known, keys)
-                is_common = place >= 0
-                base = np.bincount(owner[is_common] - ids[0], counts[is_common] * logs[place[is_common]], len(ids)) + end_log
-                met = np.bincount(owner[is_common] - ids[0], counts[is_common], len(ids)).astype(np.int64) + end_known
-                n, m = len(ids), int((~is_common).sum())
-                nothing = [None] * m
+                keys, owner = some.words()
+                log, is_common = known.get(keys)
+                base = np.bincount(owner, np.where(is_common, log, 0.0), len(ids)) + end_log
+                met = np.bincount(owner, is_common, len(ids)).astype(np.int64) + end_known
+                n_tokens = np.bincount(owner, minlength=len(ids)) + 1
+                rare = ~is_common
+                n, m = len(ids), int(rare.sum())
+                blank = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
+                padded = lambda v: pa.array(np.concatenate([v, np.zeros(m, v.dtype)]), mask=blank)
                 yield pa.record_batch(
                     [
-                        pa.array(np.concatenate([ids, owner[~is_common]])),
-                        pa.array(np.concatenate([ids, keys[~is_common].view(np.int64)])),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), counts[~is_common]])),
+                        pa.array(np.concatenate([ids, ids[owner[rare]]])),
+                        pa.array(np.concatenate([ids, keys[rare].view(np.int64)])),
+                        pa.array(np.concatenate([np.zeros(n, np.int8), np.ones(m, np.int8)])),
                         pa.concat_arrays([batch.column(0).slice(start, n), pa.nulls(m, pa.int64())]),
-                        pa.array([*n_tokens, *nothing], pa.int64()),
-                        pa.array([*met.tolist(), *nothing], pa.int64()),
-                        pa.array([*base.tolist(), *nothing], pa.float64()),
-                        pa.array([*scores.tolist(), *nothing], pa.float64()),
-                        pa.array([*sizes.tolist(), *nothing], pa.int64()),
+                        padded(n_tokens),
+                        padded(met),
+                        padded(base),
+                        padded(scores),
+                        padded(some.sizes),
                     ],
                     ["row", "key", "times", "doc_id", "n_tokens", "met", "base", "score", "n_bytes"],
                 )
             row += len(texts)
 
-    each = rows.mapInArrow(run, "row long, key long, times long, doc_id long, n_tokens long, met long, base double, score double, n_bytes long")
+    each = rows.mapInArrow(run, "row long, key long, times byte, doc_id long, n_tokens long, met long, base double, score double, n_bytes long")
     # rows with times = 0 are the documents themselves; the others look up their word's count
     rare = words.where(F.col("n") < least).select(F.col("key").alias("word"), "n")
     joined = each.join(rare, (F.col("key") == F.col("word")) & (F.col("times") > 0), "left")
@@ -449,15 +513,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     return per_row.select("doc_id", "n_tokens", "n_known", F.lit(int(seen)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(divisor))).alias("base_score"), "score", "n_bytes")
 
 
-def _scores(trees: Model, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability and number of bytes of each body; a long body is read piece by piece."""
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    if len(bodies) == 1 and sizes[0] > 2 * _BYTES:
-        body, total = bodies[0], 0.0
-        for i in range(0, len(body), _BYTES):
-            lead = body[max(0, i - trees.depth) : i].rjust(trees.depth, b"\0")
-            keys, _ = grams([lead + body[i : i + _BYTES]], trees.depth)
-            total += float(trees.log_p(keys[trees.depth :]).sum())
-        return np.array([total]), sizes
-    keys, sizes = grams(bodies, trees.depth)
-    return np.add.reduceat(trees.log_p(keys), np.cumsum(sizes) - sizes), sizes
+def _scores(trees: Model, texts: Texts) -> np.ndarray:
+    """log10 probability of each text; keys are made and looked up some bytes at a time."""
+    out = np.zeros(len(texts.sizes))
+    for at in range(0, len(texts.data), _BYTES):
+        stop = min(at + _BYTES, len(texts.data))
+        log_p = trees.log_p(texts.grams(trees.depth, at, stop))
+        first = int(np.searchsorted(texts.ends, at))
+        heads = np.maximum(texts.starts[first : int(np.searchsorted(texts.starts, stop))] - at, 0)
+        out[first : first + len(heads)] += np.add.reduceat(log_p, heads)
+    return out
