@@ -226,3 +226,55 @@ def entropy(cov: np.ndarray, temperature: float = 300.0, skip: int = 6) -> dict[
     energy = gas * temperature * (b / 2 + b / grown) / 1000
     heat = gas * b * b * np.exp(b) / grown**2
     return {"entropy": float(s.sum()), "energy": float(energy.sum()), "heat_capacity": float(heat.sum())}
+
+
+def distance_correlations(frames: DataFrame, pairs: Sequence[tuple[int, int]], max_frames: int = 20_000) -> DataFrame:
+    """(i, j, dcor) of atom pairs: one task per pair holds the two atoms' paths, F frames long.
+
+    The measure compares all frames with all frames, so a task needs F x F distances; more than
+    `max_frames` frames are refused rather than sampled.
+    """
+    import pandas as pd
+
+    spark = frames.sparkSession
+    if frames.count() > max_frames:
+        raise ValueError(f"more than {max_frames} frames: take every n-th with manipulate.sample")
+    wanted = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "i long, j long")
+    at = lambda k, a: F.element_at(F.col(a), F.col(k).cast("int"))
+    rows = frames.join(F.broadcast(wanted)).select("i", "j", "frame", *[at(k, a).alias(f"{a}{k}") for k in "ij" for a in AXES])
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("frame")
+        value = distance_correlation(part[["xi", "yi", "zi"]].to_numpy(), part[["xj", "yj", "zj"]].to_numpy())
+        return pd.DataFrame({"i": [part["i"].iloc[0]], "j": [part["j"].iloc[0]], "dcor": [value]})
+
+    return rows.groupBy("i", "j").applyInPandas(solve, "i long, j long, dcor double")
+
+
+def group_fluctuation(frames: DataFrame, group: str, atoms: Sequence[int]) -> DataFrame:
+    """(group, i, j, mean, var): mean and variance of pair distances within every group of frames.
+
+    Each partition adds up its own frames by group; only sums about each part's mean are shuffled.
+    """
+    of = np.array(atoms) - 1
+    i, j = np.tril_indices(len(of), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            d = linalg.distances(stack(batch)[:, of])
+            names, back = np.unique(np.asarray(batch.column("g")), return_inverse=True)
+            for k, name in enumerate(names):
+                mine = d[back == k]
+                mean = mine.mean(0)
+                n = len(mean)
+                yield pa.record_batch([pa.array([name] * n), pa.array(np.arange(n)), pa.array(np.full(n, len(mine))), pa.array(mean), pa.array(((mine - mean) ** 2).sum(0))], ["g", "k", "n", "mean", "m2"])
+
+    kind = frames.schema[group].dataType.simpleString()
+    parts = frames.select(F.col(group).alias("g"), *AXES).mapInArrow(run, f"g {kind}, k long, n long, mean double, m2 double")
+    middle = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    var = (F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean"))) / F.sum("n") - middle * middle
+    sums = parts.groupBy("g", "k").agg(middle.alias("mean"), F.greatest(var, F.lit(0.0)).alias("var"))
+    names = frames.sparkSession.createDataFrame([(k, int(atoms[a]), int(atoms[b])) for k, (a, b) in enumerate(zip(i, j))], "k long, i long, j long")
+    return sums.join(F.broadcast(names), "k").select(F.col("g").alias(group), "i", "j", "mean", "var")

@@ -364,6 +364,27 @@ def mutual_information(spark, sf_dir):
     return _pairs(spark, c[np.tril_indices(N_ATOMS, -1)]).select("i", "j", r(F.col("v0"), 5).alias("corr"))
 
 
+@query(
+    f"""with {POINTS}, p as (select a.traj_id, a.atom_id as i, b.atom_id as j, sqrt({d2('a', 'b')}) as d from fl a join fl b on a.frame = b.frame and a.atom_id > b.atom_id)
+select traj_id, i, j, round(avg(d), 5) as mean, round(var_pop(d), 5) as var from p group by traj_id, i, j"""
+)
+def group_fluctuation(spark, sf_dir):
+    found = dense.group_fluctuation(frames(spark, sf_dir), "traj_id", ALL)
+    return found.select("traj_id", "i", "j", r(F.col("mean"), 5).alias("mean"), r(F.col("var"), 5).alias("var"))
+
+
+@query(
+    f"""with {POINTS}, f as (select frame, atom_id, x, y, z from fl where atom_id in (1, 2, 3)), d as (select a.atom_id, a.frame as s, b.frame as t, sqrt({d2('a', 'b')}) as d from f a join f b on a.atom_id = b.atom_id),
+m as (select atom_id, s, avg(d) as m from d group by atom_id, s), g as (select atom_id, avg(d) as g from d group by atom_id),
+c as (select d.atom_id, d.s, d.t, d.d - u.m - v.m + g.g as c from d join m u on u.atom_id = d.atom_id and u.s = d.s join m v on v.atom_id = d.atom_id and v.s = d.t join g on g.atom_id = d.atom_id),
+v as (select a.atom_id as i, b.atom_id as j, avg(a.c * b.c) as v from c a join c b on a.s = b.s and a.t = b.t group by 1, 2)
+select p.i, p.j, round(sqrt(greatest(p.v, 0) / sqrt(q.v * r.v)), 4) as dcor from v p join v q on q.i = p.i and q.j = p.i join v r on r.i = p.j and r.j = p.j where p.i > p.j"""
+)
+def distance_correlation(spark, sf_dir):
+    found = dense.distance_correlations(frames(spark, sf_dir), [(2, 1), (3, 1), (3, 2)])
+    return found.select("i", "j", r(F.col("dcor")).alias("dcor"))
+
+
 @query()
 def entropy(spark, sf_dir):
     whole = frames(spark, sf_dir)
