@@ -173,6 +173,9 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+_MOST = -0.5
+
+
 class Lattice:
     """Lattices of distinct units, one after another; a unit of n characters has n + 1 slots."""
 
@@ -242,24 +245,23 @@ class Lattice:
         slot = self.slot
         self.log_p = np.minimum(weight + beta[self.next] - beta[slot], 0.0)
         p = np.exp(self.log_p)
-        sums = np.cumsum(p)
-        before = np.concatenate([[0.0], sums])[self.first[slot]]
-        self.upto = sums - before
-        ends = self.first[slot + 1] - 1
-        self.upto[ends] = 2.0  # the last edge of a slot takes what rounding leaves
-        alone = self.first[slot + 1] - self.first[slot] == 1
-        with np.errstate(divide="ignore"):
-            self.rest = np.where(alone, -np.inf, np.log(-np.expm1(self.log_p)))
-        # where one edge takes most of a slot, what it leaves is summed without it
-        most = (self.log_p > -0.5) & ~alone
-        with np.errstate(divide="ignore"):
-            heads = np.nonzero(np.diff(slot, prepend=-1))[0]
-            left = np.log(np.add.reduceat(np.where(most, 0.0, p), heads)) if len(heads) else np.zeros(0)
-        self.rest[most] = left[np.searchsorted(heads, np.nonzero(most)[0], "right") - 1]
+        heads = np.flatnonzero(np.diff(slot, prepend=-1))
+        # what the edges of a slot but its leading one come to: where one takes most, 1 - p would round it away
+        self.minor = np.zeros(n)
+        if edges:
+            self.minor[slot[heads]] = np.add.reduceat(np.where(self.log_p > _MOST, 0.0, p), heads)
+        self.p = p
+        self.p[self.first[slot[heads] + 1] - 1] = 2.0  # the last edge of a slot takes what rounding leaves
         self.ended = np.zeros(n, bool)
         self.ended[self.start + sizes] = True
         self.unit_start = np.repeat(self.start, sizes + 1)
 
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log probability of the other edges of each edge's slot; -inf where there is none."""
+        log_p = self.log_p[edges]
+        with np.errstate(divide="ignore"):
+            return np.where(log_p > _MOST, np.log(self.minor[self.slot[edges]]), np.log(-np.expm1(np.minimum(log_p, _MOST))))
+
     def walk(self, slots: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from each start to the end of its unit, in order, and their numbers."""
         steps = []
@@ -269,10 +271,13 @@ class Lattice:
         while len(active):
             u = _uniform(seeds[active] + (at - self.unit_start[at]).astype(_U) * _U(0xD1342543DE82EF95))
             edge = self.first[at]
-            more = np.nonzero(u >= self.upto[edge])[0]
+            p = self.p[edge]
+            more = np.flatnonzero(u >= p)
             while len(more):
+                u[more] -= p[more]
                 edge[more] += 1
-                more = more[u[more] >= self.upto[edge[more]]]
+                p[more] = self.p[edge[more]]
+                more = more[u[more] >= p[more]]
             steps.append((active, edge))
             at = self.next[edge]
             open_ = ~self.ended[at]
@@ -405,7 +410,7 @@ def _bounds(lattice: Lattice, row: _Row, path: int, start: int) -> tuple[np.ndar
     """Log mass of the sets that leave a path at each of the next edges, and, last, anywhere behind them."""
     edges, _, upto, _ = row.paths[path]
     part = edges[start : start + _STRETCH]
-    phi = upto[start : start + len(part)] - lattice.log_p[part] + lattice.rest[part]
+    phi = upto[start : start + len(part)] - lattice.log_p[part] + lattice.rest(part)
     stop = start + len(part)
     if stop < len(edges):
         ahead = float(upto[-1] - upto[stop - 1])  # log probability of the rest of the path, given its start
