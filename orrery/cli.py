@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.selection import select
 from .operators import kinetics, manipulate
-from .plans import blocks
+from .plans import blocks, modules
 from .schema import points, reference
 from .sources import files, structures
 
@@ -71,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
     command("pairs", "all ordered pairs of residues", "structure", "out")
     p = command("analyse", "blocks of an input file over a trajectory", "input", "structure", "trajectory", "out")
     p.add_argument("--box", type=float, nargs=3)
+    command("data", "blocks of an input file over series, links, graphs and matrices", "input", "out")
     p = command("kinetics", "first passage and equilibrium of a node series file", "series", "target")
     p.add_argument("--within", type=int, default=5)
     return out
@@ -124,6 +125,11 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         on = blocks.context(files.read_trajectory(spark, args.trajectory), files.read_structure(spark, args.structure), box=tuple(args.box) if args.box else None)
         for name, rows in blocks.run(text, on).items():
             rows.write.mode("overwrite").parquet(f"{args.out}/{name}")
+    elif c == "data":
+        with open(args.input) as f:
+            text = f.read()
+        for name, rows in modules.run_data(spark, text).items():
+            rows.write.mode("overwrite").parquet(f"{args.out}/{name}")
     else:
         links = kinetics.Links(kinetics.transitions(structures.read_series(spark, args.series)))
         rows = zip(links.nodes.tolist(), kinetics.first_passage(links, int(args.target)).tolist(), kinetics.equilibrium(links).tolist())
