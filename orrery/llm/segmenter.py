@@ -225,23 +225,40 @@ class Lattice:
             weight[to] = np.where(piece >= 0, vocabulary.log_p[np.maximum(piece, 0)], vocabulary.unknown_log_p)
             if at is odd:
                 weight[to] = vocabulary.unknown_log_p
-        # backward sums, by distance from the unit's end, one edge of every slot at a time
-        beta = np.zeros(n)
+        # Backward sums, by distance from the unit's end, one edge of every slot at a time: plain
+        # products as far as they can't underflow, logarithms beyond.
         far = np.argsort(room.astype(np.uint16) if len(room) and room.max() < 1 << 16 else room, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(room))[1:]]) if len(room) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        factor = np.exp(weight)
+        plain = int(650 / max(1.0, -float(weight.min(initial=0.0))))
+        sums_of = np.ones(n)
+        beta = np.zeros(n)
+        for distance, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
+            if distance == plain + 1:
+                beta = np.log(sums_of)
             slots = place[far[a:b]]
             at, last = self.first[slots], self.first[slots + 1]
-            sums = weight[at] + beta[self.next[at]]
+            if distance <= plain:
+                sums = factor[at] * sums_of[self.next[at]]
+            else:
+                sums = weight[at] + beta[self.next[at]]
             rows = np.arange(len(slots))
             while True:
                 at = at + 1
-                on = at < last[rows]
-                if not on.any():
+                on = np.flatnonzero(at < last)
+                if not len(on):
                     break
-                rows, at = rows[on], at[on]
-                sums[rows] = np.logaddexp(sums[rows], weight[at] + beta[self.next[at]])
-            beta[slots] = sums
+                rows, at, last = rows[on], at[on], last[on]
+                if distance <= plain:
+                    sums[rows] += factor[at] * sums_of[self.next[at]]
+                else:
+                    sums[rows] = np.logaddexp(sums[rows], weight[at] + beta[self.next[at]])
+            if distance <= plain:
+                sums_of[slots] = sums
+            else:
+                beta[slots] = sums
+        if len(cuts) - 1 <= plain:
+            beta = np.log(sums_of)
         slot = self.slot
         self.log_p = np.minimum(weight + beta[self.next] - beta[slot], 0.0)
         p = np.exp(self.log_p)
@@ -331,6 +348,7 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
     for row in rows:
         if len(row.units):
             row.push(-math.log(-math.log(_uniform_one(row.key))), -1, 0, ())
+    mixed_places = _mix(np.arange(max(len(row.units) for row in rows)).astype(_U))
     for number in range(k):
         jobs = []
         for i, row in enumerate(rows):
@@ -345,9 +363,9 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
         for i, bound, parent, t, excluded in jobs:
             row = rows[i]
             salt = _U(_mix_one(row.key + (number + 1) * int(_BASE)))
-            head, occ, left, first = _NONE, _NONE, -np.inf, 0
+            head, occ, left, first = _NONE, -1, -np.inf, 0
             if parent >= 0:
-                edges, occs, _, _ = row.paths[parent]
+                edges, (head_size, occ_head, occ_first, counts_of), _, _ = row.paths[parent]
                 slot = lattice.slot[edges[t]]
                 low, high = int(lattice.first[slot]), int(lattice.first[slot + 1])
                 open_ = [e for e in range(low, high) if e not in excluded]
@@ -362,13 +380,14 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
                 others = sum(v for k_, v in enumerate(p) if k_ != at)
                 left = float(lattice.log_p[edges[:t]].sum()) + most + math.log(others) if others > 0 else -np.inf
                 excluded = (*excluded, chosen)
-                head, occ = np.append(edges[:t], chosen), occs[: t + 1]
-                first = int(occs[t]) + 1
+                occ = occ_head if t < head_size else occ_first + int(np.searchsorted(np.cumsum(counts_of), t - head_size, "right"))
+                head = np.append(edges[:t], chosen)
+                first = occ + 1
                 starts.append(lattice.next[chosen : chosen + 1])
-                seeds.append(salt + _mix(np.array([first - 1], _U)))
+                seeds.append(salt + mixed_places[first - 1 : first])
             units = row.units[first:]
             starts.append(lattice.start[units])
-            seeds.append(salt + _mix(np.arange(first, first + len(units)).astype(_U)))
+            seeds.append(salt + mixed_places[first : first + len(units)])
             heads.append((head, occ, left, excluded, first - (parent >= 0), len(units) + (parent >= 0)))
         drawn, counts = lattice.walk(np.concatenate(starts), np.concatenate(seeds))
         ends = np.cumsum(counts)
@@ -378,11 +397,9 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
             mine = counts[at : at + n]
             stop = int(ends[at + n - 1]) if n else edge_at
             edges = np.concatenate([head, drawn[edge_at:stop]]) if len(head) else drawn[edge_at:stop]
-            occs = np.repeat(np.arange(first, first + n), mine)
-            occs = np.concatenate([occ, occs]) if len(occ) else occs
             at, edge_at = at + n, stop
             upto = np.cumsum(lattice.log_p[edges])
-            row.paths.append((edges, occs, upto, bound))
+            row.paths.append((edges, (len(head), occ, first, mine), upto, bound))
             # sets that leave this path after its head, and what remains where the head left its own
             key = (row.key ^ ((number + 1) * 0xC2B2AE3D27D4EB4F)) & _MASK
             row.salts.append(key)

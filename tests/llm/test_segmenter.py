@@ -96,3 +96,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert {(r["doc_id"], r["text"]) for r in spelled.collect()} == texts
     assert segmenter.encode(no_docs, vocabulary).count() == 0
     assert vocabulary.decode([vocabulary.bytes_[b] for b in "é".encode()]) == "é"
+
+
+def test_long_units_do_not_underflow(tiny):
+    """Past the reach of plain products the sums are kept as logarithms; both must agree with a direct sum."""
+    text = "ab" * 400
+    (ids, log_p, *_), _ = segmenter.sample([text], [3], 2, tiny)[0]
+    body = "▁" + text
+    names = {p: tiny.log_p[i] for i, p in enumerate(tiny.pieces) if np.isfinite(tiny.log_p[i])}
+    forward = [0.0] + [-math.inf] * len(body)
+    for end in range(1, len(body) + 1):
+        forward[end] = np.logaddexp.reduce([forward[end - k] + names[body[end - k : end]] for k in range(1, 4) if end >= k and body[end - k : end] in names])
+    assert "".join(tiny.pieces[i] for i in ids) == body
+    assert log_p == pytest.approx(sum(tiny.log_p[i] for i in ids) - forward[-1], rel=1e-9)
