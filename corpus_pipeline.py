@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import packing, quality, simhash, toxicity
-from orrery.llm.common import read, remainder
+from orrery.llm.common import read, remainder, stored
 
 TOXIC_AT, QUALITY_AT = 0.7, 0.3
 
@@ -51,11 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-pipeline-")
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
