@@ -207,3 +207,39 @@ def path_frequencies(found: DataFrame, frames: int) -> DataFrame:
 def norm_factors(counts: DataFrame) -> DataFrame:
     """(res_name, largest, mean) of the contact counts (res_name, n) of residues over structures."""
     return counts.groupBy("res_name").agg(F.max("n").alias("largest"), F.avg("n").alias("mean"))
+
+
+def merging_links(found: DataFrame, least: float) -> DataFrame:
+    """(frame, r1, r2, strength): the strongest links under `least` that join a frame's clusters, one
+    after another, until no link joins two of them. Residues outside of clusters take no part."""
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (-r["strength"], r["r1"], r["r2"]))
+        up: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        for r in rows:
+            if r["strength"] >= least:
+                a, b = (root(up.setdefault(r[c], r[c])) for c in ("r1", "r2"))
+                up[max(a, b)] = min(a, b)
+        used = []
+        for r in rows:
+            if r["strength"] < least and r["r1"] in up and r["r2"] in up and root(r["r1"]) != root(r["r2"]):
+                up[root(r["r1"])] = root(r["r2"])
+                used.append(r)
+        frame = key[0].as_py()
+        return pa.table({"frame": pa.array([frame] * len(used), pa.int64()), **{c: pa.array([r[c] for r in used], pa.int64()) for c in ("r1", "r2")}, "strength": pa.array([r["strength"] for r in used], pa.float64())})
+
+    return found.select("frame", "r1", "r2", "strength").groupBy("frame").applyInArrow(solve, "frame long, r1 long, r2 long, strength double")
+
+
+def contact_counts(frames: DataFrame, network: Network, names: Sequence[str]) -> DataFrame:
+    """(frame, residue, res_name, n): atom contacts of every residue with others, for norm factors."""
+    found = interactions(frames, network)
+    ends = found.select("frame", "n_pairs", F.explode(F.array("r1", "r2")).alias("residue")).groupBy("frame", "residue").agg(F.sum("n_pairs").alias("n"))
+    return ends.select("frame", "residue", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("residue").cast("int")).alias("res_name"), "n")

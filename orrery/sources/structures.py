@@ -142,3 +142,12 @@ def crd_lines(atoms: DataFrame) -> DataFrame:
 def write_lines(rows: DataFrame, path: str) -> None:
     """One ordered text file: a range sort first, so that the single writer only concatenates."""
     rows.orderBy("n").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def series_lines(rows: DataFrame) -> DataFrame:
+    """A result by frame as text: a header of titles, then one line of fixed-width cells per frame."""
+    titles = [c for c in rows.columns if c != "frame"]
+    cells = [F.format_string("%10.3f", c) if rows.schema[c].dataType.simpleString() in ("double", "float") else F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), 10, " ") for c in titles]
+    header = rows.sparkSession.createDataFrame([(-1, "#   nFr " + " ".join(f"{t:>10}" for t in titles))], "n long, line string")
+    body = rows.select(F.col("frame").cast("long").alias("n"), F.concat(F.format_string("%7d ", F.col("frame").cast("int")), F.concat_ws(" ", *cells)).alias("line"))
+    return header.unionByName(body)

@@ -158,3 +158,25 @@ def test_crossings_batch_and_stream(spark, tmp_path):
         if r["late"] == 0:
             got[r["key"]] = max(got.get(r["key"], 0), r["n"])
     assert got == expected
+
+
+def test_merging_links_and_counts(spark, small):
+    from orrery.operators import networks
+
+    rows = [(1, 1, 2, 9.0), (1, 3, 4, 8.0), (1, 2, 3, 2.0), (1, 1, 4, 1.0), (1, 4, 5, 3.0)]
+    found = spark.createDataFrame(rows, "frame long, r1 long, r2 long, strength double")
+    assert [tuple(r) for r in networks.merging_links(found, 5.0).collect()] == [(1, 2, 3, 2.0)]
+    net = networks.Network(tuple(k // 3 for k in range(21)), (3.0,) * 7, tuple(range(1, 8)), cutoff=0.2, proximity=1)
+    counts = networks.contact_counts(small, net, ["A", "B", "A", "B", "A", "B", "A"])
+    each = counts.groupBy("res_name").sum("n").collect()
+    pairs = networks.interactions(small, net).groupBy().sum("n_pairs").first()[0]
+    assert sum(r[1] for r in each) == 2 * pairs
+
+
+def test_series_text(spark, tmp_path):
+    from orrery.sources import structures
+
+    rows = spark.createDataFrame([(2, 1.5, "HH"), (1, 2.25, "LL")], "frame int, dist double, ss string")
+    structures.write_lines(structures.series_lines(rows), str(tmp_path / "t"))
+    text = [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()]
+    assert text == ["#   nFr       dist         ss", "      1      2.250         LL", "      2      1.500         HH"]
