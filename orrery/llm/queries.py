@@ -101,6 +101,16 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+# What the block rules come to where a page marks its article and the article holds blocks of text only.
+OP9_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) as t from pages),
+s as (select page_id, url, regexp_replace(regexp_replace(t, '<(/?(p|h1|ul|li)|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') as t from a),
+d as (select page_id, url, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;', chr(39)), '&amp;?', '&', 'g') as t from s),
+w as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from d)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from w
+"""
+
+
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(read(spark, sf_dir, "documents"), ~held("doc_id", 7, 2))
     bits = (-F.col("score") / F.lit(0.30102999566398120) / F.col("n_bytes")).alias("bits_per_byte")
@@ -115,4 +125,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_imatch, op3_simhash_near_dedup, op4_toxicity, op5_gumbel_segmentations, op6_pivot_top_k, op7_quality, op8_best_fit_packing, op9_main_text, op10_context_tree)}
 
-SQL: dict[str, str] = {"op1_chat_rotation": OP1_SQL, "op6_pivot_top_k": OP6_SQL}
+SQL: dict[str, str] = {"op1_chat_rotation": OP1_SQL, "op6_pivot_top_k": OP6_SQL, "op9_main_text": OP9_SQL}

@@ -1,6 +1,8 @@
 import html
 import re
 
+from comparing import same
+
 from orrery.llm import queries
 from orrery.llm.html_main import blocks, extract, main_text
 
@@ -16,6 +18,10 @@ def test_query_against_the_marked_article(spark, sf_dir):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_query_against_sql(spark, sf_dir, duck):
+    assert same(queries.op9_main_text(spark, sf_dir).toPandas(), duck.sql(queries.SQL["op9_main_text"]).df())
+
+
 def test_boilerplate_goes():
     page = f"""<!DOCTYPE html><html><head><title>T</title><style>p {{}}</style><script>var a = "<p>no</p>";</script></head><body>
     <header><p>Site name</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>{LONG}</p></div>
