@@ -282,10 +282,25 @@ def drms(spark, sf_dir):
     return whole.select("frame", r(measures.drms(ALL[:10], ref), 5).alias("drms"), r(measures.drms(ALL[:10], ref, 0.2), 4).alias("cmapd"))
 
 
-@query()
+def _superposed_sql() -> str:
+    """Least deviation by the singular values of the 3 by 3 product of centred frames, their squares in closed form."""
+    m = {(i, j): f"sum(a{i} * b{j})" for i in "xyz" for j in "xyz"}
+    products = ", ".join(f"{v} as m{i}{j}" for (i, j), v in m.items())
+    squares = ", ".join(f"{' + '.join(f'm{k}{i} * m{k}{j}' for k in 'xyz')} as s{i}{j}" for i, j in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    return f"""with {POINTS}, c as (select frame, atom_id, x - avg(x) over w as x, y - avg(y) over w as y, z - avg(z) over w as z from fl window w as (partition by frame)),
+j as (select c.frame, c.x as ax, c.y as ay, c.z as az, o.x as bx, o.y as by_, o.z as bz from c join c o on o.frame = 1 and o.atom_id = c.atom_id),
+m as (select frame, sum(ax * ax + ay * ay + az * az + bx * bx + by_ * by_ + bz * bz) as e, {products.replace('by)', 'by_)')} from j group by frame),
+s as (select *, {squares}, mxx * (myy * mzz - myz * mzy) - mxy * (myx * mzz - myz * mzx) + mxz * (myx * mzy - myy * mzx) as det from m),
+q as (select *, (sxx + syy + szz) / 3 as q from s), p as (select *, sqrt(((sxx - q) ** 2 + (syy - q) ** 2 + (szz - q) ** 2 + 2 * (sxy ** 2 + sxz ** 2 + syz ** 2)) / 6) as p from q),
+h as (select *, acos(greatest(-1.0, least(1.0, ((sxx - q) * ((syy - q) * (szz - q) - syz ** 2) - sxy * (sxy * (szz - q) - syz * sxz) + sxz * (sxy * syz - (syy - q) * sxz)) / (2 * p * p * p)))) / 3 as h from p),
+e as (select *, q + 2 * p * cos(h) as e1, q + 2 * p * cos(h + 2 * pi() / 3) as e3 from h)
+select frame, round(sqrt(greatest(0.0, e - 2 * (sqrt(e1) + sqrt(greatest(0.0, 3 * q - e1 - e3)) + sign(det) * sqrt(greatest(0.0, e3)))) / 21), 4) as rmsd from e"""
+
+
+@query(_superposed_sql())
 def rmsd_superposed(spark, sf_dir):
     whole = frames(spark, sf_dir)
-    return dense.rmsd(whole, reference(whole)).select("frame", r(F.col("rmsd"), 5).alias("rmsd"))
+    return dense.rmsd(whole, reference(whole)).select("frame", r(F.col("rmsd")).alias("rmsd"))
 
 
 # --- whole-trajectory aggregates ------------------------------------------------------------
@@ -669,7 +684,14 @@ def twist(spark, sf_dir):
     return shapes.twist(frames(spark, sf_dir), ALL, ([1, 2, 3], [4, 5, 6]), ([10, 11], [12, 13])).select("frame", r(F.col("twist")).alias("twist"))
 
 
-@query()
+def _dots_sql() -> str:
+    dots = ", ".join(f"({x!r}, {y!r}, {z!r})" for x, y, z in shapes.sphere(1).tolist())
+    return f"""with {POINTS}, u as (select * from (values {dots}) t(ux, uy, uz)), d as (select frame, atom_id, x + 0.17 * ux as x, y + 0.17 * uy as y, z + 0.17 * uz as z from fl, u),
+n as (select d.frame, d.atom_id, d.x, d.y, d.z, bool_and({d2('d', 'o')} >= 0.17 * 0.17) as free from d join fl o on o.frame = d.frame and o.atom_id <> d.atom_id group by all)
+select frame, round(count(*) filter (free) * 4 * pi() * 0.17 * 0.17 / 60, 4) as area from n group by frame"""
+
+
+@query(_dots_sql())
 def dotted_surface(spark, sf_dir):
     return shapes.dotted_surface(frames(spark, sf_dir), RADII, None, 0.05, 1).select("frame", r(F.col("area")).alias("area"))
 
