@@ -744,3 +744,50 @@ def analysis_blocks(spark, sf_dir):
     """
     rows = blocks.run(text, blocks.context(whole, structure))["frames"]
     return rows.select("frame", *[r(F.col(c), 5).alias(c) for c in ("rg", "com_x", "dev")])
+
+
+@query(
+    f"""with {POINTS}, a as (select * from fl where frame = 1), s as (select * from a where atom_id between 1 and 3),
+near as (select distinct a.atom_id from a join s on sqrt({d2('a', 's')}) <= 0.3), far as (select distinct a.atom_id from a join s on sqrt({d2('a', 's')}) >= 0.45)
+select 'near' as kind, atom_id from near where atom_id <> 5 union all select 'far', atom_id from far"""
+)
+def select_by_distance(spark, sf_dir):
+    structure = points(frames(spark, sf_dir)).where("frame = 1").select(F.col("atom_id").cast("long").alias("atom_id"), F.lit("A").alias("chain_id"), F.lit("S").alias("seg_id"), F.col("atom_id").alias("res_seq"), F.lit("C").alias("atom_name"), "x", "y", "z")
+    near, far = select(structure, "/*/*/1-3/*[0.3] ; del /*/*/5/*"), select(structure, "/*/*/1-3/*[-0.45]")
+    return near.select(F.lit("near").alias("kind"), "atom_id").union(far.select(F.lit("far"), "atom_id"))
+
+
+@query(
+    f"""with {LINKED}, f as (select r1, r2, count(*) * 100.0 / (select count(*) from embeddings) as f from li where strength >= 30 group by r1, r2), e as (select r1 as residue, f from f union all select r2, f from f)
+select residue, cast(sum(case when f >= 10 then 1 else 0 end) as bigint) as f10, cast(sum(case when f >= 33.3 then 1 else 0 end) as bigint) as f33_3, cast(sum(case when f >= 50 then 1 else 0 end) as bigint) as f50 from e group by residue"""
+)
+def stable_degrees(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    return networks.stable_degrees(networks.interactions(whole, NET), 30.0, whole.count()).select("residue", "f10", "f33_3", "f50")
+
+
+@query(
+    f"""with {LINKED}, e as (select frame, r1 as residue from li where strength >= 60 union all select frame, r2 from li where strength >= 60), h as (select frame, residue from e group by all having count(*) > 1),
+n as (select residue, count(*) as n from h group by residue), b as (select a.residue as a, c.residue as b, count(*) as met from h a join h c on a.frame = c.frame and a.residue < c.residue group by all),
+k as (select a, b, met, (select count(*) from embeddings) as t, x.n as na, y.n as nb from b join n x on x.residue = a join n y on y.residue = b)
+select a, b, round(case when t - na - nb + met > met then -1.0 else 1.0 end * (met + t - na - nb + met) / t, 5) as correlation from k"""
+)
+def hub_correlation(spark, sf_dir):
+    whole = frames(spark, sf_dir)
+    return networks.hub_correlation(networks.interactions(whole, NET), 60.0, whole.count(), 1).select("a", "b", r(F.col("correlation"), 5).alias("correlation"))
+
+
+@query("with p as (select p_partkey, ['Ala', 'trp', 'HOH', 'GLY'][p_partkey % 4 + 1] as n from part) select p_partkey, n as residue, ['A', 'W', 'X', 'G'][p_partkey % 4 + 1] as letter from p")
+def residue_letters(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(n) for n in ("Ala", "trp", "HOH", "GLY")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("residue"), G.one_letter(name).alias("letter"))
+
+
+@query("select sqrt(63.0 / 63) as whole, 1.0 as own")
+def mode_overlap(spark, sf_dir):
+    """All modes of one half of the trajectory span all modes of the other; a set overlaps with itself fully."""
+    whole = frames(spark, sf_dir)
+    ref = reference(whole)
+    halves = [dense.modes(dense.covariance(whole.where(F.col("frame") % 2 == k), ref)[0])[1] for k in (0, 1)]
+    found = (springs.inner_product(*halves, 63), springs.inner_product(halves[0], halves[0], 10))
+    return spark.createDataFrame([tuple(round(v, 6) for v in found)], "whole double, own double")
