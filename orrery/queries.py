@@ -768,8 +768,8 @@ def stable_degrees(spark, sf_dir):
 
 @query(
     f"""with {LINKED}, e as (select frame, r1 as residue from li where strength >= 60 union all select frame, r2 from li where strength >= 60), h as (select frame, residue from e group by all having count(*) > 1),
-n as (select residue, count(*) as n from h group by residue), b as (select a.residue as a, c.residue as b, count(*) as met from h a join h c on a.frame = c.frame and a.residue < c.residue group by all),
-k as (select a, b, met, (select count(*) from embeddings) as t, x.n as na, y.n as nb from b join n x on x.residue = a join n y on y.residue = b)
+al as (select residue, count(*) as n from h group by residue), b as (select a.residue as a, c.residue as b, count(*) as met from h a join h c on a.frame = c.frame and a.residue < c.residue group by all),
+k as (select a, b, met, (select count(*) from embeddings) as t, x.n as na, y.n as nb from b join al x on x.residue = a join al y on y.residue = b)
 select a, b, round(case when t - na - nb + met > met then -1.0 else 1.0 end * (met + t - na - nb + met) / t, 5) as correlation from k"""
 )
 def hub_correlation(spark, sf_dir):
