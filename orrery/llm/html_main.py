@@ -49,7 +49,7 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form head header label main menu nav ol section table title ul blockquote button li p td th tr h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall "
-    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond replies reply disqus discussion social share sharing related recommended widget toolbar pagination pager login search".split()
+    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond replies reply disqus social share sharing related recommended widget toolbar pagination pager login search".split()
 )
 
 _PART = re.compile(
@@ -70,11 +70,15 @@ class Block:
     inside: int  # number of the main part it lies in, 0 outside
 
 
-def _hinted(tag: str, attrs: str) -> bool:
+# Within a marked main part these name the heading of the text itself.
+HEADINGS = frozenset("header masthead".split())
+
+
+def _hinted(tag: str, attrs: str, inside: bool = False) -> bool:
     if not attrs or "=" not in attrs or tag in ("html", "body", "article", "main"):
         return False
     words = {w for m in _NAMED.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not words.isdisjoint(HINTS)
+    return not words.isdisjoint(HINTS - HEADINGS if inside else HINTS)
 
 
 def blocks(html: str) -> list[Block]:
@@ -134,7 +138,7 @@ def blocks(html: str) -> list[Block]:
                 name, was_dropped, was_main = open_.pop()  # its end tag may be left out
                 dropped -= was_dropped
                 main -= was_main
-            drop = tag in DROPPED or (tag == "header" and not main) or _hinted(tag, m["attrs"])
+            drop = tag in DROPPED or (tag == "header" and not main) or _hinted(tag, m["attrs"], bool(main))
             is_main = tag in MAIN and not dropped
             part += is_main
             open_.append((tag, drop, is_main))

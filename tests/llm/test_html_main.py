@@ -45,6 +45,7 @@ def test_broken_markup():
     assert main_text("<article>a<script>if (1 < 2) x()") == "a"
     assert main_text("<article>5 < 6 & 7 &lt; 8</article>") == "5 < 6 & 7 < 8"
     assert main_text('<article><p title="a > b">kept</p></article>') == "kept"
+    assert main_text('<div class="site-header">no</div><article><div class="entry-header"><h1>Title</h1></div><div class="comments">no</div></article>') == "Title"
     assert main_text("<article><!-- <p>no</p> -->yes</article></article></div>after") == "yes"
     assert [b.text for b in blocks("a<br>b<i>c</i>d")] == ["a bcd"]
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
