@@ -9,10 +9,13 @@ training texts, and then score every text. A byte that the deepest context has m
 predictions of its eight decisions; what probability those leave goes to the bytes it has never met,
 in proportion to the next shorter context's predictions, so probabilities sum to one.
 
-A context is a tree node if it holds at least one in `MAX_CONTEXTS` of the training bytes (and at
-least two), so each depth has at most MAX_CONTEXTS nodes however large the corpus; what a node's
-own children don't cover is one further child, the rest, with counts of its own. The broadcast
-model is bounded by that, while the counts behind it are gathered from every training text.
+A context is a tree node if it is found at least `LEAST` times in the training texts, so nodes grow
+with the text; what a node's own children don't cover is one further child, the rest, with counts of
+its own. The tree is never held in one place: grams are dealt by their `SPLIT` nearest predecessors
+into buckets, each of which holds whole subtrees. A first pass weighs the subtrees and hands up sums
+for the nodes above them, which are few whatever the corpus and are weighed in the driver; a second
+takes the predictions down again. Texts travel in chunks of about `_CHUNK` bytes: a chunk asks each
+bucket once for every different gram it holds, and gets one prediction for each.
 
 The base score is a word unigram with add-one smoothing over exact counts. Words that make up at
 least one in `MAX_WORDS` of all tokens (at most MAX_WORDS of them) are looked up in a broadcast
@@ -40,9 +43,12 @@ from .common import stored
 
 DEPTH = 6
 END = 0xFF
-MAX_CONTEXTS = 1 << 18
+LEAST = 2
+SPLIT = 3
+BUCKET_BITS = 8
 MAX_WORDS = 1 << 18
 _BYTES = 2 << 20
+_CHUNK, _CHUNK_ROWS = 4 << 20, 100_000
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 WORD, GRAM = 0, 1
@@ -168,14 +174,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first)
 
 
-def tallies(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): counts of words (by hash) and of byte grams over all rows."""
+def tallies(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, grams: bool = True) -> DataFrame:
+    """(kind, key, n): counts of words (by hash) and, if wanted, of byte grams over all rows."""
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _OPEN.clear()  # a worker that scored before gives its model's memory back
         ends = 0
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
         for batch in batches:
@@ -184,7 +189,7 @@ def tallies(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> Data
                 texts = Texts(bodies[start:stop])
                 ends += stop - start
                 held[WORD].append(np.unique(texts.words()[0], return_counts=True))
-                for at in range(0, len(texts.data), _BYTES):  # piece by piece, as keys take eight times the text
+                for at in range(0, len(texts.data) if grams else 0, _BYTES):  # piece by piece, as keys take eight times the text
                     held[GRAM].append(np.unique(texts.grams(depth, at, at + _BYTES), return_counts=True))
                 for kind, parts in held.items():
                     if len(parts) > 1 and sum(len(k) for k, _ in parts) > _HELD:
@@ -367,12 +372,27 @@ _OPEN: dict[int, Model] = {}
 def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """log10 probabilities of the bytes of gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
 
-    Only grams of contexts that are tree nodes are given, and a node's parent is a node. Each of a
-    byte's eight decisions has trees of its own, so they are weighed one after another; sorted
-    grams keep a decision's nodes together, and sums run over neighbours.
+    Only grams of contexts that are tree nodes are given, and a node's parent is a node.
     """
-    depth = len(levels) - 1
+    return [f for f, _ in zip(_weigh(levels)[0], levels)]
+
+
+def _shorter(names: np.ndarray, depth: int) -> np.ndarray:
+    """The parents' names of nodes with `depth` bytes of context."""
+    return ((names >> _U(8) & _low(depth - 1)) << _U(8)) | (names & _U(255))
+
+
+def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], start: int = 0, entry: list[tuple] | None = None, ends: list[tuple] | None = None, down: bool = True) -> tuple[list[np.ndarray], list[tuple], list[tuple]]:
+    """Weigh the levels from `start` bytes of context on: log10 probabilities, sums for the level above, states for the one below.
+
+    By decision, `entry` has (names, mixed, ahead) of the nodes above the first level, and `ends`
+    (names, log Pw, zeros, ones) summed over the children of the last level's nodes; the two lists
+    returned have the same forms. Each of a byte's eight decisions has trees of its own, so they are
+    weighed one after another; sorted grams keep a decision's nodes together.
+    """
+    last = len(levels) - 1
     found = [np.zeros(len(keys)) for keys, _ in levels]
+    sums, states = [], []
     for k in range(8):
         names, zeros, ones, firsts = [], [], [], []
         for keys, n in levels:
@@ -384,121 +404,263 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
             firsts.append(first)
             ones.append(up)
             zeros.append(both - up)
-        parent = [np.zeros(0, np.int64)]
-        for d in range(1, depth + 1):
-            parent.append(_find(names[d - 1], ((names[d] >> _U(8) & _low(d - 1)) << _U(8)) | (names[d] & _U(255))))
-        stay: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-        tail: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-        below = log_kt(zeros[depth], ones[depth])
-        for d in range(depth - 1, -1, -1):
-            own, up, size = log_kt(zeros[d], ones[d]), parent[d + 1], len(names[d])
-            z = zeros[d] - np.bincount(up, zeros[d + 1], size)
-            o = ones[d] - np.bincount(up, ones[d + 1], size)
-            children = np.bincount(up, below, size) + log_kt(z, o)
-            below = np.logaddexp(own, children) - np.log(2)
-            stay[d] = np.exp(own - np.log(2) - below)
-            tail[d] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), np.nan)
-        ahead, mixed = np.ones(len(names[0])), np.zeros(len(names[0]))
-        for d in range(depth + 1):
-            own = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-            last = own if d == depth else np.where(np.isnan(tail[d]), own, stay[d] * own + (1 - stay[d]) * tail[d])
-            p = mixed + ahead * last
-            keys = levels[d][0]
-            each = np.repeat(p, np.diff(np.append(firsts[d], len(keys))))
-            found[d] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
-            if d < depth:
-                mixed, ahead = (mixed + ahead * stay[d] * own)[parent[d + 1]], (ahead * (1 - stay[d]))[parent[d + 1]]
-    return found
-
-
-def fit(counted: DataFrame, texts: int, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Learn the trees from tallies of so many texts: sorted grams of each depth, and probabilities.
-
-    A depth's contexts are the strings found often enough among the grams of the depth before, so
-    each step sums the grams of at most `max_contexts` contexts, which are joined by broadcast.
+        above = [_shorter(names[i], start + i) if start + i else names[i] for i in range(last + 1)]
+        parent = [np.zeros(0, np.int64)] + [_find(names[i - 1], above[i]) for i in range(1, last + 1)]
+        stay: list[np.ndarray | None] = [None] * (last + 1)
+        tail: list[np.ndarray] = [np.zeros(0)] * (last + 1)
+        below = np.zeros(0)
+        for i in range(last, -1, -1):
+            own, size = log_kt(zeros[i], ones[i]), len(names[i])
+            if i < last:
+                children = [np.bincount(parent[i + 1], v, size) for v in (below, zeros[i + 1], ones[i + 1])]
+            elif ends is not None:
+                at = _find(names[i], ends[k][0])
+                children = [np.bincount(at, v, size) for v in ends[k][1:]]
+            else:
+                below = own
+                continue
+            z, o = zeros[i] - children[1], ones[i] - children[2]
+            below = np.logaddexp(own, children[0] + log_kt(z, o)) - np.log(2)
+            stay[i] = np.exp(own - np.log(2) - below)
+            tail[i] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), np.nan)
+        if start:
+            parents, back = np.unique(above[0], return_inverse=True)
+            sums.append((parents, *(np.bincount(back, v, len(parents)) for v in (below, zeros[0], ones[0]))))
+        if not down:
+            continue
+        if entry is None:
+            mixed, ahead = np.zeros(len(names[0])), np.ones(len(names[0]))
+        else:
+            at = _find(entry[k][0], above[0])
+            mixed, ahead = entry[k][1][at], entry[k][2][at]
+        for i in range(last + 1):
+            own = (ones[i] + 0.5) / (zeros[i] + ones[i] + 1)
+            p = mixed + ahead * (own if stay[i] is None else np.where(np.isnan(tail[i]), own, stay[i] * own + (1 - stay[i]) * tail[i]))
+            keys = levels[i][0]
+            each = np.repeat(p, np.diff(np.append(firsts[i], len(keys))))
+            found[i] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
+            if stay[i] is not None:
+                mixed, ahead = mixed + ahead * stay[i] * own, ahead * (1 - stay[i])
+            if i < last:
+                mixed, ahead = mixed[parent[i + 1]], ahead[parent[i + 1]]
+        states.append((names[last], mixed, ahead))
+    return found, sums, states
+
+
+def levels_of(keys: np.ndarray, n: np.ndarray, start: int, stop: int, least: int = LEAST) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams with `start` to `stop` bytes of context, and their counts, for contexts found `least` times."""
+    keys, n = keys[n > 0], n[n > 0]
+    levels = []
+    for d in range(stop, start - 1, -1):
+        keys, n = _merged([(keys & _low(d + 1), n), (keys[:0], n[:0])]) if len(keys) else (keys, n)
+        mine = np.ones(len(keys), bool)
+        if d and len(keys):
+            _, first = _nodes(keys, 0)
+            mine = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.append(first, len(keys))))
+        levels.append((keys[mine], n[mine]))
+    return levels[::-1]
+
+
+def fit(counted: DataFrame, texts: int, depth: int = DEPTH, least: int = LEAST) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The whole trees of a small table's tallies at once: sorted grams of each depth, and probabilities.
+
+    `score` never gathers the trees like this; tests hold it against them.
     """
-    spark = counted.sparkSession
-    sums = counted.where(F.col("kind") == GRAM).select("key", "n")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-total // max_contexts))
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    contexts = np.zeros(1, np.int64)
-    for d in range(depth + 1):
-        gram = F.col("key").bitwiseAND(F.lit(int(_low(d + 1))))
-        rows = sums.select(gram.alias("gram"), "n")
-        if d:
-            frequent = spark.createDataFrame(pa.table({"context": pa.array(contexts, pa.int64())}))
-            rows = rows.join(F.broadcast(frequent), F.shiftright("gram", 8) == F.col("context"), "left_semi")
-        kept = (rows.groupBy("gram").agg(F.sum("n").alias("n")) if d < depth else rows).toArrow()
-        keys, n = (np.asarray(kept.column(c), np.int64) for c in ("gram", "n"))
-        order = np.argsort(keys)
-        levels.append((keys[order].view(_U), n[order]))
-        # strings of d + 1 bytes that go on (none goes on behind the end), and the start of a text
-        mine = (n >= least) & (keys & 255 != END)
-        contexts = np.append(keys[mine], np.zeros(int(texts >= least and total > 0), np.int64))
-        contexts = np.unique(contexts)
+    kept = counted.where(F.col("kind") == GRAM).select("key", "n").toArrow()
+    keys, n = (np.asarray(kept.column(c), np.int64) for c in ("key", "n"))
+    levels = levels_of(keys.view(_U), n, 0, depth, least)
     return [keys for keys, _ in levels], weigh(levels)
 
 
+# --- the trees in buckets -------------------------------------------------------------------
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with the nearest predecessor as highest byte, so that sorted ones keep subtrees together."""
+    return (keys >> _U(8)).byteswap() | keys & _U(255)
+
+
+def _back(turned: np.ndarray) -> np.ndarray:
+    return (turned & ~_U(255)).byteswap() << _U(8) | turned & _U(255)
+
+
+def _bucket(turned: np.ndarray, split: int) -> np.ndarray:
+    return ((turned >> _U(64 - 8 * split)) * _U(_POWER) >> _U(64 - BUCKET_BITS)).astype(np.uint8)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _values(packed: bytes, kind: type) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(ZstdDecompressor().decompress(packed), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _asked(texts: Texts, depth: int, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams of a chunk by bucket (turned, sorted in each), their counts, and where each bucket begins."""
+    parts = []
+    for at in range(0, len(texts.data), _BYTES):
+        parts.append(np.unique(_turned(texts.grams(depth, at, at + _BYTES)), return_counts=True))
+    keys, n = _merged(parts)
+    bucket = _bucket(keys, split)
+    order = np.argsort(bucket, kind="stable")
+    return keys[order], n[order], np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
+
+
+def chunks(rows: DataFrame, training: Column, depth: int, split: int) -> DataFrame:
+    """(chunk, bucket, keys, counts): texts by chunk (bucket -1), and what each chunk asks of each bucket.
+
+    A chunk's rows are either all training rows or none is, and then its grams count nothing.
+    """
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def made(chunk: int, held: list[tuple], taught: bool) -> Iterator[pa.RecordBatch]:
+        ids, bodies = zip(*held)
+        table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(table)
+        yield pa.record_batch([[chunk], [-1], [sink.getvalue().to_pybytes()], [None]], schema=schema)
+        keys, n, first = _asked(Texts(list(bodies)), depth, split)
+        found = np.flatnonzero(np.diff(first))
+        spans = [slice(first[b], first[b + 1]) for b in found]
+        counts = [_planes(n[s].astype(np.uint32)) for s in spans] if taught else [None] * len(spans)
+        yield pa.record_batch([[chunk] * len(spans), found.tolist(), [_planes(keys[s]) for s in spans], counts], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 18
+        held: dict[bool, list[tuple]] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
+        for batch in batches:
+            for i, body, taught in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                taught = bool(taught)
+                held[taught].append((i, body))
+                sizes[taught] += len(body or b"")
+                if sizes[taught] >= _CHUNK or len(held[taught]) >= _CHUNK_ROWS:
+                    yield from made(chunk, held[taught], taught)
+                    chunk, held[taught], sizes[taught] = chunk + 1, [], 0
+        for taught, left in held.items():
+            if left:
+                yield from made(chunk, left, taught)
+                chunk += 1
+
+    return rows.select("doc_id", "text", training.alias("taught")).mapInArrow(run, "chunk long, bucket int, keys binary, counts binary")
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All different grams (turned) that chunks ask of a bucket, and their counts in training chunks."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for packed, counts in zip(table["keys"], table["counts"]):
+        keys = _values(packed.as_py(), _U)
+        parts.append((keys, _values(counts.as_py(), np.uint32).astype(np.int64) if counts.is_valid else np.zeros(len(keys), np.int64)))
+        if sum(len(k) for k, _ in parts) > max(_HELD, 2 * len(parts[0][0])):
+            parts = [_merged(parts)]
+    return _merged(parts)
+
+
+def predicted(asked: DataFrame, depth: int, split: int, least: int = LEAST) -> DataFrame:
+    """(chunk, bucket, keys, counts): log10 probabilities, in `keys`, of the grams that chunks ask for, in their order."""
+    spark = asked.sparkSession
+    by_bucket = asked.where("bucket >= 0").groupBy("bucket")
+
+    def up(table: pa.Table) -> pa.Table:
+        turned, n = _gathered(table)
+        keys = _back(turned)
+        sums = _weigh(levels_of(keys, n, split, depth, least), split, down=False)[1]
+        grams, n = levels_of(keys, n, split - 1, split - 1, 1)[0]
+        sums.append((grams, np.zeros(len(grams)), n.astype(float), np.zeros(len(grams))))
+        tags = np.concatenate([s[0] | _U(k << 56) for k, s in enumerate(sums)]).view(np.int64)
+        return pa.table([pa.array(tags), *(pa.array(np.concatenate([s[i] for s in sums])) for i in (1, 2, 3))], ["tag", "below", "zeros", "ones"])
+
+    sums = by_bucket.applyInArrow(up, "tag long, below double, zeros double, ones double").groupBy("tag").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toArrow()
+    tags = np.asarray(sums["tag"], np.int64).view(_U) if sums.num_rows else np.zeros(0, _U)
+    columns = [np.asarray(sums[c], float) if sums.num_rows else np.zeros(0) for c in ("below", "zeros", "ones")]
+    ends = [(tags[tags >> _U(56) == k] & _low(7), *(c[tags >> _U(56) == k] for c in columns)) for k in range(8)]
+    grams = tags >> _U(56) == 8
+    top = levels_of(tags[grams] & _low(7), columns[1][grams].astype(np.int64), 0, split - 1, least)
+    found, _, states = _weigh(top, ends=ends)
+    shared = spark.sparkContext.broadcast(([keys for keys, _ in top], found, states))
+
+    def down(table: pa.Table) -> pa.Table:
+        top, known, entry = shared.value
+        turned, n = _gathered(table)
+        keys = _back(turned)
+        local = levels_of(keys, n, split, depth, least)
+        # of the upper levels, what the bucket's own grams lead to
+        near = [np.isin(t >> _U(8), np.unique(keys >> _U(8) & _low(d))) for d, t in enumerate(top)]
+        model = Model.of([t[m] for t, m in zip(top, near)] + [k for k, _ in local], [v[m] for v, m in zip(known, near)] + _weigh(local, split, entry)[0])
+        values = np.concatenate([model.log_p(keys[at : at + _BYTES]) for at in range(0, len(keys), _BYTES)]).astype(np.float32)
+        out = [_planes(values[np.searchsorted(turned, _values(packed.as_py(), _U))]) for packed in table["keys"]]
+        return pa.table([table["chunk"], table["bucket"], pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["chunk", "bucket", "keys", "counts"])
+
+    return by_bucket.applyInArrow(down, "chunk long, bucket int, keys binary, counts binary")
+
+
 # --- scoring --------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS, max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row.
 
     Rows for which `training` (over doc_id) holds teach the model and the base.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = stored(tallies(rows.where(training), "text", depth))
+    split, least_context = min(SPLIT, depth), least
+    counted = stored(tallies(rows.where(training), "text", grams=False))
     words = counted.where(F.col("kind") == WORD).select("key", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     seen, distinct = totals["n"] or 0, totals["v"]
     divisor = np.log10(seen + distinct + 1)
     end_count = words.where(F.col("key") == END_WORD).first()
-    model = pack(*fit(counted, end_count["n"] if end_count else 0, depth, max_contexts))
     least = max(2, -(-seen // max_words))
     common = words.where((F.col("n") >= least) & (F.col("key") != END_WORD)).toArrow()
     keys = np.asarray(common.column("key"), np.int64).view(_U) if common.num_rows else np.zeros(0, _U)
-    shared = spark.sparkContext.broadcast((model, Table(keys, np.log10(np.asarray(common.column("n"), float) + 1) if common.num_rows else np.zeros(0))))
+    shared = spark.sparkContext.broadcast(Table(keys, np.log10(np.asarray(common.column("n"), float) + 1) if common.num_rows else np.zeros(0)))
     end_log, end_known = np.log10((end_count["n"] if end_count else 0) + 1), int(bool(end_count))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, known = shared.value
-        trees = Model.opened(packed)
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for start, at in _grouped(texts, _BYTES):  # some texts at a time, so that keys take bounded memory
-                some = Texts(texts[start:at])
-                scores = _scores(trees, some)
-                ids = row + np.arange(start, at)
-                keys, owner = some.words()
-                log, is_common = known.get(keys)
-                base = np.bincount(owner, np.where(is_common, log, 0.0), len(ids)) + end_log
-                met = np.bincount(owner, is_common, len(ids)).astype(np.int64) + end_known
-                n_tokens = np.bincount(owner, minlength=len(ids)) + 1
-                rare = ~is_common
-                n, m = len(ids), int(rare.sum())
-                blank = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
-                padded = lambda v: pa.array(np.concatenate([v, np.zeros(m, v.dtype)]), mask=blank)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate([ids, ids[owner[rare]]])),
-                        pa.array(np.concatenate([ids, keys[rare].view(np.int64)])),
-                        pa.array(np.concatenate([np.zeros(n, np.int8), np.ones(m, np.int8)])),
-                        pa.concat_arrays([batch.column(0).slice(start, n), pa.nulls(m, pa.int64())]),
-                        padded(n_tokens),
-                        padded(met),
-                        padded(base),
-                        padded(scores),
-                        padded(some.sizes),
-                    ],
-                    ["row", "key", "times", "doc_id", "n_tokens", "met", "base", "score", "n_bytes"],
-                )
-            row += len(texts)
-
-    each = rows.mapInArrow(run, "row long, key long, times byte, doc_id long, n_tokens long, met long, base double, score double, n_bytes long")
+    def run(table: pa.Table) -> pa.Table:
+        known = shared.value
+        at = np.asarray(table["bucket"])
+        own = table.take(pa.array(np.argsort(at)))
+        batch = pa.ipc.open_stream(own["keys"][0].as_py()).read_all().combine_chunks()
+        texts = Texts(batch["text"].to_pylist())
+        values = np.concatenate([_values(v.as_py(), np.float32) for v in own["keys"][1:]])
+        scores = _sums(texts, values, depth, split)
+        n = len(texts.sizes)
+        ids = (table["chunk"][0].as_py() << 20) + np.arange(n)
+        keys, owner = texts.words()
+        log, is_common = known.get(keys)
+        base = np.bincount(owner, np.where(is_common, log, 0.0), n) + end_log
+        met = np.bincount(owner, is_common, n).astype(np.int64) + end_known
+        n_tokens = np.bincount(owner, minlength=n) + 1
+        rare = ~is_common
+        m = int(rare.sum())
+        blank = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
+        padded = lambda v: pa.array(np.concatenate([v, np.zeros(m, v.dtype)]), mask=blank)
+        return pa.table(
+            [
+                pa.array(np.concatenate([ids, ids[owner[rare]]])),
+                pa.array(np.concatenate([ids, keys[rare].view(np.int64)])),
+                pa.array(np.concatenate([np.zeros(n, np.int8), np.ones(m, np.int8)])),
+                pa.chunked_array([*batch["doc_id"].chunks, pa.nulls(m, pa.int64())]),
+                padded(n_tokens),
+                padded(met),
+                padded(base),
+                padded(scores),
+                padded(texts.sizes),
+            ],
+            ["row", "key", "times", "doc_id", "n_tokens", "met", "base", "score", "n_bytes"],
+        )
+
+    asked = stored(chunks(rows, F.coalesce(training, F.lit(False)), depth, split))
+    answered = predicted(asked, depth, split, least_context).unionByName(asked.where("bucket < 0"))
+    each = answered.groupBy("chunk").applyInArrow(run, "row long, key long, times byte, doc_id long, n_tokens long, met long, base double, score double, n_bytes long")
     # rows with times = 0 are the documents themselves; the others look up their word's count
     rare = words.where(F.col("n") < least).select(F.col("key").alias("word"), "n")
     joined = each.join(rare, (F.col("key") == F.col("word")) & (F.col("times") > 0), "left")
@@ -523,3 +685,19 @@ def _scores(trees: Model, texts: Texts) -> np.ndarray:
         heads = np.maximum(texts.starts[first : int(np.searchsorted(texts.starts, stop))] - at, 0)
         out[first : first + len(heads)] += np.add.reduceat(log_p, heads)
     return out
+
+
+def _sums(texts: Texts, values: np.ndarray, depth: int, split: int) -> np.ndarray:
+    """log10 probability of each text, from the predictions of a chunk's different grams by bucket."""
+    keys, _, _ = _asked(texts, depth, split)
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order].astype(float)
+    out = np.zeros(len(texts.sizes))
+    for at in range(0, len(texts.data), _BYTES):
+        stop = min(at + _BYTES, len(texts.data))
+        mine, back = np.unique(_turned(texts.grams(depth, at, stop)), return_inverse=True)
+        log_p = values[np.searchsorted(keys, mine)][back]
+        first = int(np.searchsorted(texts.ends, at))
+        heads = np.maximum(texts.starts[first : int(np.searchsorted(texts.starts, stop))] - at, 0)
+        out[first : first + len(heads)] += np.add.reduceat(log_p, heads)
+    return out

@@ -184,3 +184,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert ctw.score(no_docs, F.lit(True)).count() == 0
     untrained = ctw.score(odd_docs, F.lit(False)).where("doc_id = 8").first()
     assert untrained["score"] == pytest.approx(-4 * 8 * math.log10(2)) and untrained["train_tokens"] == 0
+
+
+def test_every_context_met_twice_is_a_node(spark):
+    """A context's own prediction does not depend on how much other text there is."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(400)]
+    bodies = ["qzxjkv wyqzxp"] * 2 + [" ".join(rng.choice(words, 800)) for _ in range(130)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(bodies)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score(docs, F.lit(True)).collect()}
+    u, n = np.unique(ctw.Texts([t.encode() for t in bodies]).grams(), return_counts=True)
+    levels = ctw.levels_of(u, n, 0, ctw.DEPTH, 2)
+    model = ctw.Model.of([k for k, _ in levels], ctw.weigh(levels))
+    whole = ctw._scores(model, ctw.Texts([t.encode() for t in bodies]))
+    assert [got[i] for i in range(len(bodies))] == pytest.approx(whole, rel=1e-5)
+    assert np.uint64(int.from_bytes(b"qzxjkv", "big")) in levels[6][0] >> np.uint64(8)
