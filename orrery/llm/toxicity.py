@@ -4,12 +4,14 @@ A text is cut into clauses at sentence marks and line ends. Each clause is read
 transducers composed into one automaton:
 
 * insult   - reads a learned insult and writes its weight;
-* threat   - reads a threat verb (fixed list, or learned beside a target) and writes its weight;
+* threat   - reads a threat verb (fixed list) and writes its weight if a target stands in its clause;
 * target   - reads a second or third person reference and marks the clause as aimed at someone;
 * negation - reads a negation and damps the weights of the following `NEGATION_SPAN` words;
 * reported - reads a speech verb or a quotation mark and damps what follows in the clause.
 
-The automaton's state is (aimed, words left under negation, reported). An insult alone is a match;
+The automaton's state is (aimed, words left under negation, reported, threats that wait for a
+target). A threat before its target waits with its damped weight and is settled at the clause's end;
+the same verb read again behind the target is the same threat. An insult alone is a match;
 a clause's score is the weight of its matches after damping, raised if it is aimed. What a document
 gets is a logistic reading of its clause scores, with coefficients learned from labelled rows.
 
@@ -59,8 +61,13 @@ def clauses(text: str, lexicon: dict[str, float]) -> list[tuple[float, int]]:
     aimed = reported = False
     negated = matches = 0
     weight = 0.0
+    waiting: list[tuple[str, float]] = []
     for token in [*_TOKEN.findall(text.lower()), "."]:
         if token in ".!?;\n":
+            if aimed:
+                matches += len(waiting)
+                weight += sum(w for _, w in waiting)
+            waiting = []
             if matches:
                 out.append((weight * (AIMED if aimed else 1.0), matches))
             aimed = reported = False
@@ -72,9 +79,16 @@ def clauses(text: str, lexicon: dict[str, float]) -> list[tuple[float, int]]:
             negated = NEGATION_SPAN + 1
         elif token in SPEECH:
             reported = True
-        elif (found := lexicon.get(token)) is not None or (token in THREATS and aimed):
-            matches += 1
-            weight += (THREAT if found is None else found) * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
+        elif (found := lexicon.get(token)) is not None or token in THREATS:
+            own = (THREAT if found is None else found) * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
+            if found is None and not aimed:
+                waiting.append((token, own))
+            else:
+                matches += 1
+                weight += own
+                again = next((i for i, (verb, _) in enumerate(waiting) if verb == token), None)
+                if again is not None:
+                    del waiting[again]
         aimed = aimed or token in TARGETS
         negated = max(0, negated - 1)
     return out

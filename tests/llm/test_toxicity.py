@@ -64,3 +64,11 @@ def test_copies_count_once(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     assert set(toxicity.fit(docs, labels, F.lit(True)).lexicon) == {"idiot"}
+
+
+def test_threats_before_their_target():
+    assert only("I will kill you.") == only("you I will kill.") == toxicity.THREAT * toxicity.AIMED
+    assert only("we will hurt them and burn him!") == 2 * toxicity.THREAT * toxicity.AIMED
+    assert only("I will not kill you.") == toxicity.THREAT * toxicity.NEGATED * toxicity.AIMED
+    assert toxicity.clauses("we kill time. you may go.", LEXICON) == []
+    assert toxicity.features("ich will dich töten", {}) == toxicity.features("ich will töten dich", {}) != (0.0, 0.0, 0.0)
