@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each near-copy component (SimHash, or 5-word similarity of 0.8): the one with the smallest id."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,13 +161,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+BANDS, BAND_ROWS = 20, 5
+_MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted different hashes of a text's word shingles (of the whole text if it is shorter)."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").lower().split()
+    spans = [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
+    return np.unique(np.array([xxh64_intdigest(b" ".join(s), SEED) for s in spans], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """Band keys of the MinHash signature; sets of similarity 0.8 share none with probability 0.0004."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), 4096):
+        mixed = hashes[i : i + 4096, None] * _MULTIPLIERS
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        keys = (keys ^ rows[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b), a < b, that connect documents whose shingle sets are that similar, each pair verified.
+
+    Equal sets hang on their smallest id and are compared once; texts without a word have no edge.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "hashes", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    sets = cut(rows.mapInArrow(run, "doc_id long, hashes array<long>, bands array<long>").where(F.size("hashes") > 0).withColumn("name", F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256)))
+    classes = cut(sets.groupBy("name").agg(F.min("doc_id").alias("rep")))
+    copies = sets.select("doc_id", "name").join(classes, "name").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # two texts may share an id, so a set is known by its name
+    one = sets.join(classes, (sets["name"] == classes["name"]) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["name"])
+    keyed = one.select("name", F.explode("bands").alias("band"))
+    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("m"), F.col("y.name").alias("n")).distinct()
+    left, right = one.select(F.col("name").alias("m"), F.col("doc_id").alias("u"), F.col("hashes").alias("g")), one.select(F.col("name").alias("n"), F.col("doc_id").alias("v"), F.col("hashes").alias("h"))
+    shared = F.size(F.array_intersect("g", "h"))
+    near = met.join(left, "m").join(right, "n").where(shared >= F.lit(similarity) * (F.size("g") + F.size("h") - shared)).where("u <> v")
+    return copies.union(near.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float | None = None) -> DataFrame:
     """The rows of `docs` with one document of each near-duplicate component: its smallest id.
 
-    Rows without an id are kept (they can't stand for a component); of repeated rows with the
-    surviving id one is kept.
+    Documents are linked as by `near_duplicates` and, with `similarity`, if their sets of `width`
+    words are that similar. Rows without an id are kept (they can't stand for a component); of
+    repeated rows with the surviving id one is kept.
     """
     classes = near_duplicates(docs, id_col, text_col)
+    if similarity is not None:
+        edges = classes.where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+        found = components(edges.union(similar(docs, id_col, text_col, width, similarity)).distinct())
+        ids = classes.where("doc_id is not null").select("doc_id").distinct()
+        classes = ids.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     winners = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(winners, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -93,3 +93,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 6, 7, 8]
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_similar_texts_are_one_component(spark):
+    """Five-word similarity of 0.8 links texts whose fingerprints differ in more than two bits."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near, far = [*words[:-5], *"other words at the end".split()], [*words[:30], *"quite another text from here on".split()]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, "")], "doc_id long, text string")
+    prints = [simhash.fingerprint(" ".join(t).encode()) for t in (words, near)]
+    assert bin(prints[0] ^ prints[1]).count("1") > 2
+    assert {r["doc_id"] for r in simhash.keep_one(docs, similarity=0.8).collect()} == {1, 3, 4}
