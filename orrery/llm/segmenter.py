@@ -11,8 +11,8 @@ of size k without replacement; the next bound is the threshold of their inclusio
 log(1 - exp(-exp(log p - threshold))).
 
 All draws are hashes of (seed, row key, sample, place in the text), so a row's samples depend on
-nothing but its key and text. Lattices are built once per distinct unit of a run of texts, where a
-unit is a stretch that no piece crosses.
+nothing but its key and text. Lattices are built once per distinct unit, where a unit is a stretch
+that no piece crosses, and are kept from one run of texts to the next until they hold `_KEPT` slots.
 
 The vocabulary is read from a SentencePiece model file named by a parameter. Models of the unigram
 kind carry log probabilities; those of the merge kind carry ranks, which are read as a Zipf law.
@@ -43,6 +43,7 @@ SPACE = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BYTES = 2 << 20
+_KEPT = 2_000_000
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -212,9 +213,9 @@ class Lattice:
         degree = np.zeros(n, np.int64)
         for at, _, _ in found:
             degree[place[at]] += 1  # no slot twice for one length
-        self.first = np.concatenate([[0], np.cumsum(degree)])
+        self.first = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32 if int(degree.sum()) < 1 << 31 else np.int64)
         edges = int(self.first[-1])
-        self.piece, self.next, self.slot = (np.empty(edges, np.int64) for _ in range(3))
+        self.piece, self.next, self.slot = (np.empty(edges, np.int32) for _ in range(3))
         weight = np.empty(edges)
         filled = self.first[:-1].copy()
         for at, length, piece in found:
@@ -271,7 +272,21 @@ class Lattice:
         self.p[self.first[slot[heads] + 1] - 1] = 2.0  # the last edge of a slot takes what rounding leaves
         self.ended = np.zeros(n, bool)
         self.ended[self.start + sizes] = True
-        self.unit_start = np.repeat(self.start, sizes + 1)
+        self.unit_start = np.repeat(self.start, sizes + 1).astype(np.int32)
+
+    def extended(self, other: Lattice) -> Lattice:
+        """This lattice with the units of another one behind its own."""
+        out = Lattice.__new__(Lattice)
+        slots, edges = len(self.ended), len(self.piece)
+        out.sizes = np.concatenate([self.sizes, other.sizes])
+        out.start = np.concatenate([self.start, other.start + slots])
+        out.first = np.concatenate([self.first[:-1], other.first + other.first.dtype.type(edges)])
+        for name in ("next", "slot", "unit_start"):
+            part = getattr(other, name)
+            setattr(out, name, np.concatenate([getattr(self, name), part + part.dtype.type(slots)]))
+        for name in ("piece", "log_p", "p", "minor", "ended"):
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        return out
 
     def rest(self, edges: np.ndarray) -> np.ndarray:
         """Log probability of the other edges of each edge's slot; -inf where there is none."""
@@ -285,8 +300,10 @@ class Lattice:
         active, at = np.arange(len(slots)), slots.copy()
         open_ = ~self.ended[at]
         active, at = active[open_], at[open_]
+        place = (at - self.unit_start[at]).astype(_U)
+        seed = seeds[active]
         while len(active):
-            u = _uniform(seeds[active] + (at - self.unit_start[at]).astype(_U) * _U(0xD1342543DE82EF95))
+            u = _uniform(seed + place * _U(0xD1342543DE82EF95))
             edge = self.first[at]
             p = self.p[edge]
             more = np.flatnonzero(u >= p)
@@ -296,9 +313,10 @@ class Lattice:
                 p[more] = self.p[edge[more]]
                 more = more[u[more] >= p[more]]
             steps.append((active, edge))
-            at = self.next[edge]
-            open_ = ~self.ended[at]
-            active, at = active[open_], at[open_]
+            before, at = at, self.next[edge]
+            open_ = np.flatnonzero(~self.ended[at])
+            active, before, at = active[open_], before[open_], at[open_]
+            seed, place = seed[open_], place[open_] + (at - before).astype(_U)
         counts = np.zeros(len(slots), np.int64)
         for who, _ in steps:
             counts[who] += 1
@@ -330,21 +348,46 @@ def _truncated(phi, top, u):
         return phi - np.log(np.exp(np.minimum(phi - top, 700.0)) - np.log(u))
 
 
-def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabulary, seed: int = 0) -> list[list[tuple[np.ndarray, float, float, float]]]:
+class Units(dict):
+    """Numbers of the units met, with the lattice of all of them; new units are numbered as they are asked for."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.lattice: Lattice | None = None
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+    def ready(self) -> Lattice | None:
+        """The lattice, with the new units built in."""
+        if self.new:
+            built, self.new = Lattice(self.new, self.vocabulary), []
+            self.lattice = built if self.lattice is None else self.lattice.extended(built)
+        return self.lattice
+
+    def trim(self) -> None:
+        """Start anew if what is kept has grown too large."""
+        if self.lattice is not None and len(self.lattice.ended) > _KEPT:
+            self.clear()
+            self.lattice = None
+
+
+def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabulary, seed: int = 0, units_met: Units | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: (piece ids, log p, perturbed log p, log inclusion)."""
-    index: dict[str, int] = {}
+    index = Units(vocabulary) if units_met is None else units_met
     rows: list[_Row] = []
     for text, key in zip(texts, keys):
         body = SPACE + text.replace(" ", SPACE) if text else ""
         mixed = _mix_one((key ^ seed * 0x632BE59BD9B4E019) + int(_BASE))
         units = vocabulary.units.findall(body)
-        for u in set(units).difference(index):
-            index[u] = len(index)
         rows.append(_Row(np.fromiter(map(index.__getitem__, units), np.int64, len(units)), mixed, k + 1))
     out: list[list] = [[] for _ in rows]
-    if not index:
+    lattice = index.ready()
+    if lattice is None:
         return [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in rows]
-    lattice = Lattice(list(index), vocabulary)
     for row in rows:
         if len(row.units):
             row.push(-math.log(-math.log(_uniform_one(row.key))), -1, 0, ())
@@ -416,6 +459,7 @@ def sample(texts: list[str | None], keys: list[int], k: int, vocabulary: Vocabul
             d = log_p - threshold
             inclusion = d if d < -30 else float(np.log(-np.expm1(-np.exp(min(d, 700.0)))))
             out[i].append((vocabulary.expand(lattice.piece[edges]).astype(np.int32), log_p, perturbed, inclusion))
+    index.trim()
     return out
 
 
@@ -487,6 +531,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = pa.array(shared.value.spelling(), pa.binary())
+        units = Units(shared.value)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -495,7 +540,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, i
                 while end < len(texts) and (end == at or held < _BYTES):
                     held += len(texts[end] or "")
                     end += 1
-                found = sample(texts[at:end], [i or 0 for i in ids[at:end]], k, shared.value, seed)
+                found = sample(texts[at:end], [i or 0 for i in ids[at:end]], k, shared.value, seed, units)
                 flat = [(i, n + 1, *s) for i, samples in zip(ids[at:end], found) for n, s in enumerate(samples)]
                 at = end
                 who, number, pieces, log_p, perturbed, inclusion = zip(*flat)
