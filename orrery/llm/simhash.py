@@ -3,11 +3,12 @@
 Fingerprints are 64 bits in eight byte positions. Two fingerprints that differ in at most two bits
 share at least six of their eight positional bytes. One posting list per single positional byte
 would hold 1/256 of all fingerprints, so that tallying its pairs is quadratic; the index therefore
-keys its postings by six positional bytes at a time (28 choices). A pair that shares m positional
-bytes meets in C(m, 6) lists, so meeting at all is the guaranteed minimum of six matches, and every
-met pair is verified on its exact bit distance. Fingerprints in one list are distinct and differ in
-two bytes only, so a list has at most 65,536 entries whatever the input; lists longer than
-`PAIR_LIMIT` are linked exactly through one-bit neighbours instead of pair by pair.
+keys its postings by six positional bytes at a time (28 choices). Fingerprints in one list are
+distinct and differ in two bytes only, so a list has at most 65,536 entries whatever the input. In
+a list, members meet at the values that are one bit at most from them: every pair within two bits
+has such a value, and at most 17 members surround one, so no list makes all its pairs. What meets
+is tallied: pairs with fewer than six equal positional bytes go, and the exact bit distance of the
+others is verified.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows without an id are
 returned with the component of their fingerprint (null if no row of that component has an id).
@@ -25,47 +26,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 SEED = 42
 BITS = 2
 SHARED = 8 - BITS
-PAIR_LIMIT = 48
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of UTF-8 text over word shingles (ASCII case folded, repeats included)."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every run of `width` words, repeats included; of the whole sequence if it is shorter."""
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        return xxh64_intdigest(b" ".join(words), SEED)
     body = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(body, SEED)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
-    ends = ends[width - 1 :]
+    return np.array([xxh64_intdigest(body[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(starts), _CHUNK):
-        spans = zip(starts[i : i + _CHUNK].tolist(), ends[i : i + _CHUNK].tolist())
-        hashes = np.array([xxh64_intdigest(body[a:b], SEED) for a, b in spans], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    for i in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long, one row per input row."""
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of UTF-8 text over word shingles (ASCII case folded, repeats included)."""
+    return majority(shingle_hashes((text or b"").lower().split(), width))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, extra: str | None = None) -> DataFrame:
+    """(doc_id, fp) with fp as a signed long, one row per input row; a column of longs may come along under its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    more = [extra] if extra else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _posting_keys(fp: Column) -> Column:
@@ -84,38 +89,29 @@ def links(reps: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, that connect the representatives of all fingerprints within two bits.
 
     `reps` has one row (fp, rep) for each distinct fingerprint. Pairs within two bits are joined by
-    an edge or, in lists over PAIR_LIMIT, by a path over fingerprints within two bits.
+    an edge or by a path over fingerprints within two bits.
     """
     postings = reps.where("rep is not null").select("fp", "rep", F.explode(_posting_keys(F.col("fp"))).alias("key"))
-    lists = (
-        postings.groupBy("key")
-        .agg(F.collect_list(F.struct("fp", "rep")).alias("m"))
-        .where(F.size("m") > 1)
-        .select("key", "m", F.size("m").alias("n"))
-    )
-    met = "filter(m, o -> o.fp > one.fp and bit_count(o.fp ^ one.fp) <= %d)" % BITS
-    verified = F.expr(f"filter(transform(m, one -> struct(one.rep as rep, {met} as near)), x -> size(x.near) > 0)")
-    pairs = (
-        lists.where(F.col("n") <= PAIR_LIMIT)
-        .select(F.explode(verified).alias("x"))
-        .select(F.col("x.rep").alias("u"), F.explode("x.near.rep").alias("v"))
-    )
-    # A long list: members within one bit of a common value are within two bits of each other, and
-    # every pair within two bits has such a value, so each value's members hang on the smallest.
+    lists = postings.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("m")).where(F.size("m") > 1)
     flips = [F.array(F.lit(0).cast("long"), *[F.lit((1 << (8 * byte + bit)) - ((1 << 64) if 8 * byte + bit == 63 else 0)).cast("long") for byte in dropped for bit in range(8)]) for dropped in combinations(range(8), BITS)]
     flip = F.element_at(F.array(*flips), F.col("key.positions").cast("int") + 1)
-    around = (
-        lists.where(F.col("n") > PAIR_LIMIT)
-        .select("key", F.explode("m").alias("one"))
-        .select("key", "one", F.explode(flip).alias("bit"))
-        .groupBy("key", F.col("one.fp").bitwiseXOR(F.col("bit")).alias("value"))
-        .agg(F.collect_set("one.rep").alias("reps"))
-        .where(F.size("reps") > 1)
-        .select(F.array_min("reps").alias("u"), F.explode("reps").alias("v"))
-        .where("u <> v")
+    met = (
+        lists.select("key.positions", flip.alias("flip"), F.explode("m").alias("one"))
+        .select("positions", "one", F.explode("flip").alias("bit"))
+        .groupBy("positions", F.col("one.fp").bitwiseXOR(F.col("bit")).alias("value"))
+        .agg(F.collect_set("one").alias("around"))
+        .where(F.size("around") > 1)
+        .select(F.array_min("around").alias("u"), F.explode("around").alias("v"))
+        .where("u.rep <> v.rep")
     )
-    both = pairs.unionByName(around)
-    return both.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    return met.where((tally("u.fp", "v.fp") >= SHARED) & F.expr(f"bit_count(u.fp ^ v.fp) <= {BITS}")).select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
+
+
+def tally(a: str, b: str) -> Column:
+    """How many positional bytes two fingerprints share."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    equal = [F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for k in range(8)]
+    return sum(equal[1:], equal[0])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,15 +161,6 @@ BANDS, BAND_ROWS = 20, 5
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted different hashes of a text's word shingles (of the whole text if it is shorter)."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or b"").lower().split()
-    spans = [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
-    return np.unique(np.array([xxh64_intdigest(b" ".join(s), SEED) for s in spans], np.uint64))
-
-
 def bands(hashes: np.ndarray) -> np.ndarray:
     """Band keys of the MinHash signature; sets of similarity 0.8 share none with probability 0.0004."""
     least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
@@ -189,44 +176,97 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b), a < b, that connect documents whose shingle sets are that similar, each pair verified.
+def prints(rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, h, fp, name, bands) of rows (doc_id, h, text): fingerprint, and name and bands of the set of `width`-word shingles.
 
-    Equal sets hang on their smallest id and are compared once; texts without a word have no edge.
+    Texts without a word have no name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "hashes", "bands"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sets = cut(rows.mapInArrow(run, "doc_id long, hashes array<long>, bands array<long>").where(F.size("hashes") > 0).withColumn("name", F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256)))
-    classes = cut(sets.groupBy("name").agg(F.min("doc_id").alias("rep")))
-    copies = sets.select("doc_id", "name").join(classes, "name").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    # two texts may share an id, so a set is known by its name
-    one = sets.join(classes, (sets["name"] == classes["name"]) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["name"])
-    keyed = one.select("name", F.explode("bands").alias("band"))
-    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("m"), F.col("y.name").alias("n")).distinct()
-    left, right = one.select(F.col("name").alias("m"), F.col("doc_id").alias("u"), F.col("hashes").alias("g")), one.select(F.col("name").alias("n"), F.col("doc_id").alias("v"), F.col("hashes").alias("h"))
-    shared = F.size(F.array_intersect("g", "h"))
-    near = met.join(left, "m").join(right, "n").where(shared >= F.lit(similarity) * (F.size("g") + F.size("h") - shared)).where("u <> v")
-    return copies.union(near.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+            fps, names, keys = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                fps.append(majority(shingle_hashes(words, 3)))
+                own = np.unique(shingle_hashes(words, width))
+                names.append(sha256(own.tobytes()).digest()[:16] if len(own) else None)
+                keys.append(bands(own).view(np.int64) if len(own) else None)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "h", "fp", "name", "bands"])
+
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, name binary, bands array<long>")
+
+
+def similar(rows: DataFrame, found: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints that join all texts whose shingle sets are that similar, each edge verified.
+
+    `rows` are (doc_id, h, text), `found` is `prints` of them and `known` has edges of fingerprints
+    already. Sets that share a band are compared with the band's first set; then, in bands that
+    still hold several components, sets of different components are compared. A set that is known to
+    hang together with another is not compared with it again, so a large group of near copies takes
+    as many comparisons as it has members.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes((t or b"").lower().split(), width)).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], ["name", "fp", "hashes"])
+
+    named = found.where("name is not null")
+    pick = F.min(F.struct("fp", "doc_id", "h"))
+    one = cut(named.groupBy("name").agg(pick.alias("pick"), F.min_by("bands", F.struct("fp", "doc_id", "h")).alias("bands")).select("name", "pick.fp", "pick.doc_id", "pick.h", "bands"))
+    copies = named.select("name", F.col("fp").alias("b")).distinct().join(one.select("name", F.col("fp").alias("a")), "name").where("a <> b").select("a", "b")
+    keyed = one.select(F.explode("bands").alias("band"), "name", "fp")
+    buckets = keyed.groupBy("band").agg(F.min(F.struct("name", "fp")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
+    shared = cut(keyed.join(buckets, "band").select("band", "name", "fp", "first"))
+    wanted = shared.select("name").distinct().join(one.select("name", "fp", "doc_id", "h"), "name")
+    bodies = rows.join(wanted.select("name", "fp", F.col("doc_id").alias("__id"), F.col("h").alias("__h")), (F.col("h") == F.col("__h")) & (F.col("doc_id") == F.col("__id")))
+    held = stored(bodies.select("name", "fp", "text").mapInArrow(sets, "name binary, fp long, hashes array<long>").dropDuplicates(["name"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        right = held.select(F.col("name").alias("n"), F.col("fp").alias("b"), F.col("hashes").alias("h"))
+        left = held.select(F.col("name").alias("m"), F.col("fp").alias("a"), F.col("hashes").alias("g"))
+        both = F.size(F.array_intersect("g", "h"))
+        return pairs.join(right, "n").join(left, "m").where(both >= F.lit(similarity) * (F.size("g") + F.size("h") - both)).where("a <> b").select("a", "b")
+
+    first = verified(shared.where("name <> first.name").select(F.col("first.name").alias("m"), F.col("name").alias("n")).distinct())
+    edges = cut(ordered(known.union(copies).union(first)))
+    label = components(edges)
+    marked = shared.select("band", "name", "fp").join(label, F.col("fp") == F.col("node"), "left").select("band", "name", F.coalesce("component", "fp").alias("label"))
+    mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    open_ = cut(marked.join(mixed, "band"))
+    x, y = open_.alias("x"), open_.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.name").alias("m"), F.col("y.name").alias("n")).distinct()
+    return ordered(edges.union(verified(met)))
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float | None = None) -> DataFrame:
     """The rows of `docs` with one document of each near-duplicate component: its smallest id.
 
     Documents are linked as by `near_duplicates` and, with `similarity`, if their sets of `width`
-    words are that similar. Rows without an id are kept (they can't stand for a component); of
-    repeated rows with the surviving id one is kept.
+    words are that similar. Fingerprints are the nodes that are linked, so rows that share an id but
+    not a text are told apart; of rows with a component's smallest id the one with the smallest hash
+    of its text stays, and of rows equal in both one. Rows without an id are kept (they can't stand
+    for a component).
     """
-    classes = near_duplicates(docs, id_col, text_col)
+    h = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), h.alias("h"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    found = stored(prints(rows, width)) if similarity is not None else cut(fingerprints(rows.select("doc_id", "h", "text"), extra="h"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = cut(found.select("fp", F.col("fp").alias("rep")).distinct().repartition(parts, "fp"))
+    edges = links(reps)
     if similarity is not None:
-        edges = classes.where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-        found = components(edges.union(similar(docs, id_col, text_col, width, similarity)).distinct())
-        ids = classes.where("doc_id is not null").select("doc_id").distinct()
-        classes = ids.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    winners = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(winners, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+        edges = similar(rows, found, cut(edges), width, similarity)
+    label = components(edges)
+    classes = found.select("doc_id", "h", "fp").join(label, F.col("fp") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "fp").alias("component"))
+    winners = classes.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("w")).select(F.col("w.doc_id").alias("__keep"), F.col("w.h").alias("__hash"))
+    # winners differ in (id, hash of id and text); partitioned by the hash, the repeats of a winner meet without another shuffle
+    named = docs.withColumn("__own", h)
+    kept = named.join(winners, (F.col("__own") == F.col("__hash")) & (F.col(id_col).cast("long") == F.col("__keep")), "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

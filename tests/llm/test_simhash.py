@@ -68,11 +68,10 @@ def test_links_of_random_clusters(spark):
 
 
 def test_long_lists_are_linked_exactly(spark):
-    # 300 fingerprints that differ in two bytes only meet in one posting list over the limit
+    # 300 fingerprints that differ in two bytes only meet in one posting list
     rng = random.Random(5)
     base = rng.getrandbits(64) & ~0xFFFF
     values = sorted({base | rng.getrandbits(16) for _ in range(300)} | {base ^ (1 << 40) ^ 0x5555 ^ base & 0xFFFF})
-    assert len(values) > simhash.PAIR_LIMIT
     assert linked(spark, values) == plain_components(list(enumerate(values)))
 
 
@@ -104,3 +103,54 @@ def test_similar_texts_are_one_component(spark):
     prints = [simhash.fingerprint(" ".join(t).encode()) for t in (words, near)]
     assert bin(prints[0] ^ prints[1]).count("1") > 2
     assert {r["doc_id"] for r in simhash.keep_one(docs, similarity=0.8).collect()} == {1, 3, 4}
+
+
+def test_repeated_ids_with_different_texts_lose_no_text(spark):
+    """Two rows of one id with texts of their own are two documents; equal rows are one."""
+    one, two = "the first text of this id has its own words", "and here stands something else for the same number entirely"
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (1, two), (None, one)], "doc_id long, text string")
+    for similarity in (None, 0.8):
+        kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs, similarity=similarity).collect()), key=str)
+        assert kept == sorted([(1, one), (1, two), (None, one)], key=str)
+
+
+def plain_survivors(texts, similarity=0.8, width=5):
+    """Smallest id of every component over fingerprints within two bits or shingle sets that similar, all compared with all."""
+    ids = sorted(texts)
+    words = {i: (texts[i] or "").encode().lower().split() for i in ids}
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for i, w in words.items()}
+    prints = {i: plain_fingerprint(texts[i]) for i in ids}
+    label = {i: i for i in ids}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and root(a) != root(b):
+                both = len(sets[a] & sets[b])
+                if bin(prints[a] ^ prints[b]).count("1") <= 2 or (both and both >= similarity * (len(sets[a]) + len(sets[b]) - both)):
+                    low, high = sorted((root(a), root(b)))
+                    label[high] = low
+    return {root(i) for i in ids}
+
+
+def test_near_copies_against_brute_force(spark, docs, texts):
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, similarity=0.8).collect()}
+    assert kept == plain_survivors(texts)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Chains of similar texts, and many copies that differ in a word, against all pairs."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts, chain = {}, list(base)
+    for k in range(60):
+        texts[k] = " ".join([*base[:-1], f"end{k}"])
+    for k in range(60, 80):
+        chain[(k - 60) * 4] = f"new{k}"
+        texts[k] = " ".join(chain)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs, similarity=0.8).collect()} == plain_survivors(texts)
