@@ -5,9 +5,10 @@ ordered by residual space; for each piece, longest first, the successor search s
 smallest residual that fits and moves on until it meets a bin whose source and cluster bitmaps have
 none of the piece's bits: the tightest compatible bin. If there is none, a new bin opens.
 
-Rows are dealt by a hash of their id into shards of about `shard_rows` documents, each packed on
-its own, so that no task ever holds more than a shard and no key (source or cluster) gathers in one
-place. A document longer than the capacity is cut into full pieces, each a bin of its own, and one
+Rows are dealt by a hash of their id, length, source and cluster into shards of about `shard_rows`
+documents, each packed on its own, so that no task ever holds more than a shard and no key (source
+or cluster) gathers in one place. Best fit is therefore best within a shard (the README has what
+that costs against one shard for all). Rows without an id are dealt by their place in the input. A document longer than the capacity is cut into full pieces, each a bin of its own, and one
 rest, which is packed like any other piece; nothing is cut off.
 
 Rows with null or no length count as length zero and are placed like others; a null source or
@@ -91,8 +92,9 @@ def best_fit(docs: DataFrame, length: Column, source: Column, cluster: Column, i
         cluster.cast("string").alias("cluster"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
-    # rows without an id are spread by what they hold
-    spread = F.pmod(F.xxhash64("doc_id", F.when(~F.col("has_id"), F.struct("length", "source", "cluster"))), F.lit(shards))
+    # equal rows without an id can't be told apart in the result, so any place will do for them
+    place = F.when(~F.col("has_id"), F.monotonically_increasing_id())
+    spread = F.pmod(F.xxhash64("doc_id", "length", "source", "cluster", place), F.lit(shards))
     return rows.withColumn("shard", spread).groupBy("shard").applyInPandas(run, "doc_id long, shard long, bin long, piece int, bin_offset long, start long, length long")
 
 

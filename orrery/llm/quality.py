@@ -7,8 +7,9 @@ attention a = softmax(w . (tanh(V e) * sigmoid(U e))) weighs the passages, and t
 from the weighted passage representation sum(a e). All weights are learned together from document
 labels alone.
 
-Learning reads at most `MAX_LABELS` labelled rows (the smallest hashes of their ids) and at most
-`MAX_BAG` evenly spaced passages of each; scoring reads every passage of every text.
+Learning reads at most `MAX_LABELS` labelled rows (the smallest hashes of their ids) and every
+passage of each, in blocks of bags whose gradients are added up; scoring reads every passage of
+every text.
 
 Null and empty texts are one empty passage. Labels that are null or contradict each other for one
 id are left out. Without labels of both kinds every row scores the share of the label seen (0.5 if
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from .toxicity import labelled
 
 MAX_LABELS = 6000
-MAX_BAG = 32
 WINDOW = 512
 CLASSES, PAIRS, GROUPS = 16, 64, 1024
 FEATURES = CLASSES + PAIRS + 2
@@ -123,21 +123,12 @@ def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 250, r
     w = {"W": rng.normal(0, 0.15, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATE)), "U": rng.normal(0, 0.3, (HIDDEN, GATE)), "a": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, HIDDEN), "d": np.zeros(())}
     w = {k: np.asarray(v, np.float32) for k, v in w.items()}
     m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
-    starts = np.cumsum(counts) - counts
+    parts = list(_bag_blocks(counts))
     for step in range(1, epochs + 1):
-        e = np.tanh(x @ w["W"] + w["b"])
-        t, g = np.tanh(e @ w["V"]), _sigmoid(e @ w["U"])
-        alpha = _softmax((t * g) @ w["a"], starts, counts)
-        value = e @ w["c"]
-        pooled = np.add.reduceat(alpha * value, starts)
-        delta = (_sigmoid(pooled + w["d"]) - y) / len(y)
-        each = np.repeat(delta, counts)
-        d_s = alpha * each * (value - np.repeat(pooled, counts))
-        d_tg = d_s[:, None] * w["a"]
-        d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
-        d_e = (alpha * each)[:, None] * w["c"] + d_t @ w["V"].T + d_g @ w["U"].T
-        d_h = d_e * (1 - e * e)
-        grad = {"W": x.T @ d_h, "b": d_h.sum(0), "V": e.T @ d_t, "U": e.T @ d_g, "a": (t * g).T @ d_s, "c": e.T @ (alpha * each), "d": delta.sum()}
+        grad = {k: np.zeros_like(p) for k, p in w.items()}
+        for bags, rows in parts:
+            for k, g in gradient(w, x[rows], counts[bags], y[bags], len(y))[1].items():
+                grad[k] += g
         for k in w:
             q = grad[k] + ridge * w[k]
             m[k] = 0.9 * m[k] + 0.1 * q
@@ -146,6 +137,36 @@ def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 250, r
     return Model(w | {"mean": mean.astype(np.float32), "std": std.astype(np.float32)})
 
 
+def _bag_blocks(counts: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[slice, slice]]:
+    """Ranges of bags of about `most` passages, one bag at least, and the ranges of their passages."""
+    ends = np.cumsum(counts)
+    a = start = 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield slice(a, b), slice(start, int(ends[b - 1]))
+        a, start = b, int(ends[b - 1])
+
+
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray, y: np.ndarray, total: int) -> tuple[float, dict[str, np.ndarray]]:
+    """Log loss of some bags over `total`, and its gradient; x holds their scaled passages."""
+    starts = np.cumsum(counts) - counts
+    e = np.tanh(x @ w["W"] + w["b"])
+    t, g = np.tanh(e @ w["V"]), _sigmoid(e @ w["U"])
+    alpha = _softmax((t * g) @ w["a"], starts, counts)
+    value = e @ w["c"]
+    pooled = np.add.reduceat(alpha * value, starts)
+    p = _sigmoid(pooled + w["d"])
+    delta = (p - y) / total
+    each = np.repeat(delta, counts)
+    d_s = alpha * each * (value - np.repeat(pooled, counts))
+    d_tg = d_s[:, None] * w["a"]
+    d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
+    d_e = (alpha * each)[:, None] * w["c"] + d_t @ w["V"].T + d_g @ w["U"].T
+    d_h = d_e * (1 - e * e)
+    loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()) / total
+    return loss, {"W": x.T @ d_h, "b": d_h.sum(0), "V": e.T @ d_t, "U": e.T @ d_g, "a": (t * g).T @ d_s, "c": e.T @ (alpha * each), "d": delta.sum()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", target: str = "quality", most: int = MAX_LABELS) -> Model:
     """Learn from the labelled rows for which `usable` (over __id) holds."""
 
@@ -154,8 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             bags = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 rows, _ = windows_of([text])
-                rows = rows if len(rows) <= MAX_BAG else rows[np.linspace(0, len(rows) - 1, MAX_BAG).astype(int)]
-                bags.append(encode(rows).astype("<f4").tobytes())
+                bags.append(b"".join(encode(rows[i : i + _BLOCK]).astype("<f4").tobytes() for i in range(0, len(rows), _BLOCK)))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
     sample = labelled(docs, labels, target, usable, id_col, text_col, most)

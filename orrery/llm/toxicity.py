@@ -1,24 +1,24 @@
 """Toxicity from a weighted finite-state pattern grammar.
 
-A text is cut into clauses at sentence marks and line ends. Each clause is read by five small
-transducers composed into one automaton:
+A text is cut into clauses at sentence marks and line ends, and its tokens are read as symbols
+(insult, threat, target, negation, speech, quote, other). Five weighted transducers read them:
 
-* insult   - reads a learned insult and writes its weight;
-* threat   - reads a threat verb (fixed list) and writes its weight if a target stands in its clause;
-* target   - reads a second or third person reference and marks the clause as aimed at someone;
-* negation - reads a negation and damps the weights of the following `NEGATION_SPAN` words;
-* reported - reads a speech verb or a quotation mark and damps what follows in the clause.
+* insult   - writes 1 for a learned insult, whose own weight it scales;
+* threat   - writes `THREAT` for a threat verb (fixed list);
+* target   - remembers a second or third person reference, before or after; at the clause's end it
+             raises what was matched, and threats without a target count nothing;
+* negation - damps matches among the `NEGATION_SPAN` words behind a negation;
+* reported - damps matches behind a speech verb or within quotation marks.
 
-The automaton's state is (aimed, words left under negation, reported, threats that wait for a
-target). A threat before its target waits with its damped weight and is settled at the clause's end;
-the same verb read again behind the target is the same threat. An insult alone is a match;
-a clause's score is the weight of its matches after damping, raised if it is aimed. What a document
-gets is a logistic reading of its clause scores, with coefficients learned from labelled rows.
+`compose` makes one automaton of them: its states are tuples of theirs, and the weights on its arcs
+are products. A clause is scored by the path it takes through the automaton; a threat verb counts
+once in a clause. Contractions are read by their parts (don't is a negation, you'll a target). What
+a document gets is a logistic reading of its clause scores, with coefficients learned from labels.
 
 The insult lexicon is learned: a word enters if labelled toxic texts hold it in several different
 surroundings (so that copies of one text count once) and hardly any clean text holds it. Learning
-reads a sample of at most `MAX_LABELS` labelled rows, those with the smallest hash of their id; the
-lexicon has at most `MAX_LEXICON` words. Both are bounds of the model, not of what is scored.
+reads a sample of at most `MAX_LABELS` labelled rows, those with the smallest hash of their id: a
+bound of the model, not of what is scored. The lexicon has all words of the sample that qualify.
 
 Null and empty texts have no clause and get the score of a text without matches. Labels that are
 null or contradict each other for one id are left out of learning. With no usable label of either
@@ -29,8 +29,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELS = 40_000
-MAX_LEXICON = 4096
 MIN_CONTEXTS = 3
 MIN_LOG_ODDS = 3.0
 NEGATION_SPAN = 3
@@ -51,46 +51,105 @@ NEGATIONS = frozenset("not no never neither nor cannot nicht kein keine keinen n
 SPEECH = frozenset("said says wrote writes quoted called reported sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split())
 THREATS = frozenset("kill hurt destroy burn stab shoot beat töten umbringen tuer frapper brûler matar golpear quemar".split())
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"«»„“”]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]|[\"«»„“”]")
 _WORD = re.compile(r"[^\W\d_]+")
+_ELIDED = {"n": "ne", "t": "te"}  # French words before an apostrophe
+
+INSULT, THREATEN, TARGET, NEGATION, SAY, QUOTE, OTHER = SYMBOLS = ("insult", "threat", "target", "negation", "speech", "quote", "other")
+_FIXED = {**{w: TARGET for w in TARGETS}, **{w: NEGATION for w in NEGATIONS}, **{w: SAY for w in SPEECH}, **{w: THREATEN for w in THREATS}, **{q: QUOTE for q in '"«»„“”'}}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """States with arcs (state, symbol) -> (state, weight); `final` weighs a kind of match at the clause's end."""
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], tuple[Hashable, float]]
+    final: dict[tuple[Hashable, str], float] = field(default_factory=dict)
+
+    def step(self, state: Hashable, symbol: str) -> tuple[Hashable, float]:
+        """What is not named stays where it is, with weight 1."""
+        return self.arcs.get((state, symbol), (state, 1.0))
+
+
+def transducers() -> list[Transducer]:
+    insult = Transducer(0, {(0, INSULT): (0, 1.0)})
+    threat = Transducer(0, {(0, THREATEN): (0, THREAT)})
+    target = Transducer("unaimed", {("unaimed", TARGET): ("aimed", 1.0)}, {("aimed", INSULT): AIMED, ("aimed", THREATEN): AIMED, ("unaimed", THREATEN): 0.0})
+    damped = {(left, symbol): (left - 1, NEGATED if symbol in (INSULT, THREATEN) else 1.0) for left in range(1, NEGATION_SPAN + 1) for symbol in SYMBOLS}
+    negation = Transducer(0, damped | {(left, NEGATION): (NEGATION_SPAN, 1.0) for left in range(NEGATION_SPAN + 1)})
+    reported = Transducer(
+        "plain",
+        {("plain", SAY): ("reported", 1.0), ("plain", QUOTE): ("reported", 1.0), ("reported", QUOTE): ("plain", 1.0), **{("reported", m): ("reported", REPORTED) for m in (INSULT, THREATEN)}},
+    )
+    return [insult, threat, target, negation, reported]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both transducers reading the same symbols: states are pairs, weights are products."""
+    start = (a.start, b.start)
+    arcs, final, left = {}, {}, [start]
+    seen = {start}
+    while left:
+        state = left.pop()
+        for symbol in SYMBOLS:
+            (p, u), (q, v) = a.step(state[0], symbol), b.step(state[1], symbol)
+            arcs[state, symbol] = ((p, q), u * v)
+            if (p, q) not in seen:
+                seen.add((p, q))
+                left.append((p, q))
+        for kind in (INSULT, THREATEN):
+            final[state, kind] = a.final.get((state[0], kind), 1.0) * b.final.get((state[1], kind), 1.0)
+    return Transducer(start, arcs, final)
+
+
+def _numbered(t: Transducer) -> tuple[int, list[dict[str, tuple[int, float]]], list[tuple[float, float]]]:
+    """A composed transducer by numbers of its states: start, arcs and final weights of each."""
+    names = list(dict.fromkeys(state for state, _ in t.arcs))
+    number = {state: k for k, state in enumerate(names)}
+    arcs = [{symbol: (number[t.arcs[state, symbol][0]], t.arcs[state, symbol][1]) for symbol in SYMBOLS} for state in names]
+    return number[t.start], arcs, [(t.final[state, INSULT], t.final[state, THREATEN]) for state in names]
+
+
+GRAMMAR = reduce(compose, transducers())
+_START, _ARCS, _FINAL = _numbered(GRAMMAR)
+
+
+def tokens(text: str) -> Iterator[str]:
+    """Lower-case words and marks; contractions by their parts, those of `not` as that word."""
+    for token in _TOKEN.findall(text.lower()):
+        if "'" not in token and "’" not in token:
+            yield token
+        elif token[-3:] in ("n't", "n’t"):
+            yield "not"
+        else:
+            *first, last = re.split("['’]", token)
+            yield from (_ELIDED.get(w, w) for w in first)
+            yield last
 
 
 def clauses(text: str, lexicon: dict[str, float]) -> list[tuple[float, int]]:
     """(score, matches) of each clause with a match."""
     out = []
-    aimed = reported = False
-    negated = matches = 0
-    weight = 0.0
-    waiting: list[tuple[str, float]] = []
-    for token in [*_TOKEN.findall(text.lower()), "."]:
+    state, insults, matches = _START, 0.0, 0
+    threats: dict[str, float] = {}
+    for token in [*tokens(text), "."]:
         if token in ".!?;\n":
-            if aimed:
-                matches += len(waiting)
-                weight += sum(w for _, w in waiting)
-            waiting = []
-            if matches:
-                out.append((weight * (AIMED if aimed else 1.0), matches))
-            aimed = reported = False
-            negated = matches = 0
-            weight = 0.0
-        elif token in '"«»„“”':
-            reported = not reported
-        elif token in NEGATIONS:
-            negated = NEGATION_SPAN + 1
-        elif token in SPEECH:
-            reported = True
-        elif (found := lexicon.get(token)) is not None or token in THREATS:
-            own = (THREAT if found is None else found) * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            if found is None and not aimed:
-                waiting.append((token, own))
-            else:
-                matches += 1
-                weight += own
-                again = next((i for i, (verb, _) in enumerate(waiting) if verb == token), None)
-                if again is not None:
-                    del waiting[again]
-        aimed = aimed or token in TARGETS
-        negated = max(0, negated - 1)
+            if matches or threats:
+                by_insult, by_threat = _FINAL[state]
+                found = matches + (len(threats) if by_threat else 0)
+                if found:
+                    out.append((insults * by_insult + sum(threats.values()) * by_threat, found))
+                insults, matches, threats = 0.0, 0, {}
+            state = _START
+            continue
+        own = lexicon.get(token)
+        symbol = INSULT if own is not None else _FIXED.get(token, OTHER)
+        state, weight = _ARCS[state][symbol]
+        if symbol is INSULT:
+            insults, matches = insults + own * weight, matches + 1
+        elif symbol is THREATEN:
+            threats[token] = max(threats.get(token, 0.0), weight)
     return out
 
 
@@ -189,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     )
     odds = F.log((F.col("contexts") + 0.5) / (counts[1] + 1)) - F.log((F.col("clean") + 0.5) / (counts[0] + 1))
     enough = (F.col("clean") <= 0.02 * F.col("contexts")) | (odds >= MIN_LOG_ODDS + 2)
-    chosen = by_word.withColumn("odds", odds).where((F.col("odds") >= MIN_LOG_ODDS) & enough).orderBy(F.desc(F.col("odds") * F.log1p("contexts")), "word").limit(MAX_LEXICON).collect()
+    chosen = by_word.withColumn("odds", odds).where((F.col("odds") >= MIN_LOG_ODDS) & enough).select("word", "odds", "contexts").orderBy("word").collect()
     lexicon = {r["word"]: float(min(r["odds"], 8.0) * min(1.0, r["contexts"] / 8)) for r in chosen}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,3 +53,39 @@ def test_odd_rows(odd_docs, no_docs, labels):
     assert quality.score(odd_docs, nothing).where("score <> 0.5").count() == 0
     assert quality.score(no_docs, model).count() == 0
     assert quality.keep_good(odd_docs, model).columns == odd_docs.columns
+
+
+def _plain(weights, bag):
+    """Score of one bag of scaled passages, written out passage by passage."""
+    import math
+
+    logits, values = [], []
+    for x in bag:
+        e = [math.tanh(sum(a * b for a, b in zip(x, column)) + bias) for column, bias in zip(weights["W"].T, weights["b"])]
+        gate = [math.tanh(sum(a * b for a, b in zip(e, v))) / (1 + math.exp(-sum(a * b for a, b in zip(e, u)))) for v, u in zip(weights["V"].T, weights["U"].T)]
+        logits.append(sum(a * b for a, b in zip(gate, weights["a"])))
+        values.append(sum(a * b for a, b in zip(e, weights["c"])))
+    share = [math.exp(s - max(logits)) for s in logits]
+    return 1 / (1 + math.exp(-(sum(s * v for s, v in zip(share, values)) / sum(share) + float(weights["d"]))))
+
+
+def test_scores_and_gradients_against_brute_force():
+    """Scores against a passage-by-passage reading; gradients against differences of the loss, whole and in blocks."""
+    rng = np.random.default_rng(6)
+    shapes = {"W": (quality.FEATURES, quality.HIDDEN), "b": quality.HIDDEN, "V": (quality.HIDDEN, quality.GATE), "U": (quality.HIDDEN, quality.GATE), "a": quality.GATE, "c": quality.HIDDEN, "d": ()}
+    w = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()}
+    counts, y = np.array([3, 1, 5]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(0, 1, (9, quality.FEATURES))
+    loss, grad = quality.gradient(w, x, counts, y, 3)
+    for k, at in (("W", (4, 2)), ("b", (3,)), ("V", (5, 1)), ("U", (0, 3)), ("a", (2,)), ("c", (7,)), ("d", ())):
+        step = {n: v.copy() for n, v in w.items()}
+        step[k][at] += 1e-6
+        assert np.isclose((quality.gradient(step, x, counts, y, 3)[0] - loss) / 1e-6, grad[k][at], atol=1e-5)
+    blocks = list(quality._bag_blocks(counts, 4))
+    assert [b for b, _ in blocks] == [slice(0, 2), slice(2, 3)] and [r for _, r in blocks] == [slice(0, 4), slice(4, 9)]
+    summed = sum(quality.gradient(w, x[r], counts[b], y[b], 3)[1]["W"] for b, r in blocks)
+    assert np.allclose(summed, grad["W"])
+    texts = [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (100, 1500, 40_000)]
+    model = quality.Model(w | {"mean": np.zeros(quality.FEATURES), "std": np.ones(quality.FEATURES)})
+    for text, s in zip(texts, model.score(texts)):
+        assert np.isclose(s, _plain(w, quality.encode(quality.windows_of([text])[0])))

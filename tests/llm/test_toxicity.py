@@ -72,3 +72,40 @@ def test_threats_before_their_target():
     assert only("I will not kill you.") == toxicity.THREAT * toxicity.NEGATED * toxicity.AIMED
     assert toxicity.clauses("we kill time. you may go.", LEXICON) == []
     assert toxicity.features("ich will dich töten", {}) == toxicity.features("ich will töten dich", {}) != (0.0, 0.0, 0.0)
+
+
+def test_the_composed_automaton_against_its_transducers():
+    """Every transducer run by itself over random clauses, weights multiplied, against the composed one."""
+    import random
+
+    rng = random.Random(3)
+    words = {toxicity.INSULT: "idiot", toxicity.THREATEN: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.SAY: "said", toxicity.QUOTE: '"', toxicity.OTHER: "house"}
+    for _ in range(2000):
+        path = [rng.choice(list(words)) for _ in range(rng.randrange(1, 9))]
+        parts = toxicity.transducers()
+        states = [t.start for t in parts]
+        insults, n, threats = 0.0, 0, []
+        for symbol in path:
+            weight = 1.0
+            for k, t in enumerate(parts):
+                states[k], w = t.step(states[k], symbol)
+                weight *= w
+            if symbol == toxicity.INSULT:
+                insults, n = insults + 4.0 * weight, n + 1
+            elif symbol == toxicity.THREATEN:
+                threats.append(weight)
+        aim = {kind: 1.0 for kind in (toxicity.INSULT, toxicity.THREATEN)}
+        for state, t in zip(states, parts):
+            for kind in aim:
+                aim[kind] *= t.final.get((state, kind), 1.0)
+        counted = max(threats, default=0.0) * aim[toxicity.THREATEN]
+        expected = [(insults * aim[toxicity.INSULT] + counted, n + bool(counted))] if n or counted else []
+        found = toxicity.clauses(" ".join(words[s] for s in path), LEXICON)
+        assert [(round(s, 9), k) for s, k in found] == [(round(s, 9), k) for s, k in expected], path
+
+
+def test_contractions():
+    assert only("don't be an idiot.") == only("don’t be an idiot.") == only("not be an idiot.")
+    assert only("you're an idiot!") == only("you idiot!")
+    assert only("I'm going to kill you tonight!") == toxicity.THREAT * toxicity.AIMED
+    assert only("t'es idiot.") == only("te es idiot.") and only("n'est idiot") == only("ne est idiot")
