@@ -2,17 +2,25 @@
 
 The page is cut into blocks at block-level tags. Containers that never hold main text (menus, page
 headers, footers, sidebars, forms, scripts, styles) and containers named as notices, adverts,
-comments and the like are set aside at once. Every other block is read by its features:
+comments and the like are set aside at once; a name counts if it is made of such words, beside words
+of layout, only (`ad-box`, not `search-for-truth`), and names of paragraphs, headings and list items
+count nothing. Every other block is read by its features:
 
 pass 1 - link density over `LINKS` or links in a short block: boilerplate; shorter than `SHORT`:
          undecided short; otherwise stop-word density decides between main text (dense and long),
-         undecided (dense but of middling length, or half dense) and boilerplate;
+         undecided (dense but of middling length, half dense, or without a link) and boilerplate;
 pass 2 - undecided blocks inherit the label of the nearest decided neighbours: main text if both
-         agree or the nearer says so, a tie going to main text for undecided long blocks only.
+         agree or the nearer says so, a tie going to main text for undecided long blocks only. With no
+         decided block at all, they are main text if one of them is long.
 
-Where a page marks its main part (article or main), blocks outside are boilerplate, and blocks
-inside are undecided where pass 1 would reject them for lack of stop words; with no decided
-neighbour inside, they are main text. So headings and one-word paragraphs of an article stay.
+Where a page marks its main part (article or main), that is one more feature: blocks outside are
+boilerplate, blocks inside are undecided where pass 1 would reject them for lack of stop words, and
+look for neighbours inside; with none decided, they are main text. So headings and one-word
+paragraphs of an article stay.
+
+A link is text behind an `a` with an address, to its end tag or the block's end. Tags that end with
+a slash hold nothing, and elements other than scripts and styles that are never closed are read as
+if their tag was not there.
 
 Null and empty pages give an empty text; so do pages without any main text. Repeated rows are
 extracted each; only the page id, url and html columns are read. Texts of any length are taken
@@ -40,7 +48,8 @@ STOP_WORDS = frozenset(
     "de la le et les des en un une du que qui dans pour par sur au avec est pas elle il ne se ce plus "
     "el los las y del se por con una su para al es como más lo no ha o esta".split()
 )
-RAW = "script style noscript template iframe svg canvas object textarea select option math"
+RAW = "script style"
+HELD = frozenset("noscript template iframe svg canvas object textarea select".split())
 DROPPED = frozenset("nav footer aside form button menu dialog label fieldset head title".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
@@ -51,6 +60,8 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall "
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments respond replies reply disqus social share sharing related recommended widget toolbar pagination pager login search".split()
 )
+NAMED = frozenset("div section ul ol dl aside nav form header footer table span figure details dialog".split())
+LAYOUT = frozenset("area bar block body bottom box btn button container content group inner item items left link links list main outer page panel right row section site slot top unit wrap wrapper".split())
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
@@ -59,7 +70,8 @@ _PART = re.compile(
     r"|<[!?/a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ADDRESS = re.compile(r"(?:^|\s)href\s*=", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -75,10 +87,15 @@ HEADINGS = frozenset("header masthead".split())
 
 
 def _hinted(tag: str, attrs: str, inside: bool = False) -> bool:
-    if not attrs or "=" not in attrs or tag in ("html", "body", "article", "main"):
+    if tag not in NAMED or "=" not in attrs:
         return False
-    words = {w for m in _NAMED.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not words.isdisjoint(HINTS - HEADINGS if inside else HINTS)
+    hints = HINTS - HEADINGS if inside else HINTS
+    for m in _NAMED.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+            if not words.isdisjoint(hints) and words <= hints | LAYOUT:
+                return True
+    return False
 
 
 def blocks(html: str) -> list[Block]:
@@ -88,13 +105,15 @@ def blocks(html: str) -> list[Block]:
     dropped = main = part = 0
     pieces: list[str] = []
     linked = links = 0
+    lower = html.lower()
+    last_end = {tag: lower.rfind(f"</{tag}") for tag in HELD}
 
     def end_block() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, links
         text = " ".join("".join(pieces).split())
         if text:
             out.append(Block(text, linked, part if main else 0))
-        pieces, linked = [], 0
+        pieces, linked, links = [], 0, 0
 
     def take(raw: str) -> None:
         nonlocal linked
@@ -115,12 +134,28 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "br":
             pieces.append(" ")
+        empty = (m["attrs"] or "").endswith("/")
         if tag == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if m["close"] or empty or not _ADDRESS.search(m["attrs"]) else 1
+        if tag in HELD:
+            if not m["close"]:
+                if not empty and last_end[tag] >= at:
+                    open_.append((tag, True, False))
+                    dropped += 1
+            elif any(t == tag for t, _, _ in open_):
+                while True:
+                    name, was_dropped, was_main = open_.pop()
+                    dropped -= was_dropped
+                    main -= was_main
+                    if name == tag:
+                        break
+            continue
         if tag not in BLOCKS:
-            if _hinted(tag, m["attrs"]) and not m["close"] and not m["attrs"].endswith("/") and tag == "span":
-                open_.append((tag, True, False))
-                dropped += 1
+            if tag == "span" and not m["close"] and not empty:
+                hinted = _hinted(tag, m["attrs"], bool(main))
+                if hinted or (open_ and open_[-1][0] == "span"):  # plain spans count only within a named one
+                    open_.append((tag, hinted, False))
+                    dropped += hinted
             elif tag == "span" and m["close"] and open_ and open_[-1][0] == "span":
                 dropped -= open_.pop()[1]
             continue
@@ -133,7 +168,7 @@ def blocks(html: str) -> list[Block]:
                     main -= was_main
                     if name == tag:
                         break
-        elif tag in CONTAINERS and not m["attrs"].endswith("/"):
+        elif tag in CONTAINERS and not empty:
             while tag in ("p", "li", "td", "th", "tr") and open_ and open_[-1][0] in (("p", tag) if tag != "tr" else ("p", "td", "th", "tr")):
                 name, was_dropped, was_main = open_.pop()  # its end tag may be left out
                 dropped -= was_dropped
@@ -162,7 +197,7 @@ def _first_pass(block: Block) -> str:
         return "good" if size >= LONG else "near"
     if stops >= STOPS_LOW:
         return "near"
-    return "near" if block.inside else "bad"
+    return "near" if block.inside or not block.linked else "bad"
 
 
 def _second_pass(labels: list[str], default: bool) -> list[bool]:
@@ -200,7 +235,8 @@ def main_text(html: str | None) -> str:
     keep: list[bool] = [False] * len(found)
     for part in marked or {0}:
         rows = [k for k, b in enumerate(found) if b.inside == part]
-        for k, good in zip(rows, _second_pass([_first_pass(found[k]) for k in rows], bool(part))):
+        labels = [_first_pass(found[k]) for k in rows]
+        for k, good in zip(rows, _second_pass(labels, bool(part) or "near" in labels)):
             keep[k] = good
     return " ".join(b.text for b, k in zip(found, keep) if k)
 

@@ -57,3 +57,31 @@ def test_odd_rows(spark):
     got = extract(pages).collect()
     assert len(got) == 4 and {(r["page_id"], r["text"]) for r in got} == {(1, ""), (None, "x")}
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_markup_that_must_not_swallow_text():
+    """Unclosed or self-closed elements, and names that only look like those of boilerplate."""
+    keep = "<p>one</p>{}<p>two</p><p>three</p>"
+    for odd in ("<a name=x>", "<a href='y'/>", "<svg/>", "<svg viewBox='0'>", "<iframe src='x' />", "<iframe src=x>", "<select><option>no</select>", "<select><option>no<option>no</select>", "<canvas>", "<object/>", "<span class='share'/>"):
+        assert main_text(f"<article>{keep.format(odd)}</article>") == "one two three", odd
+        assert main_text(f"<article><p>one {odd}</p><p>two</p><p>three</p></article>") == "one two three", odd
+    for odd in ("<p class='share'>", "<p id='search-for-truth'>", "<h2 class='header'>", "<div id='search-for-truth'>", "<div class='loading'>", "<section class='radical-menu-art'>"):
+        assert main_text(f"<article>{odd}one</article>") == "one", odd
+    for odd in ("<div class='ad'>", "<div id='cookie-bar'>", "<section class='x relatedLinks'>", "<ul class=share-list>", "<div role=search>"):
+        assert main_text(f"<article>{odd}no</div></section></ul></article>") == "", odd
+    assert main_text("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p></article>") == "a x=1 b"
+    assert main_text("<article><p>a <svg><title>no</title></svg>b <select><option>no</option></select>c</p></article>") == "a b c"
+    assert main_text("<article><p>" + "<a href=x>link " * 30 + f"</p><p>{LONG * 2}</p></article>") == " ".join((LONG * 2).split())
+
+
+def test_rules_alone_find_the_article(spark, sf_dir):
+    """Pages without the mark of their article: what the rules take against the marked part."""
+    overlap = equal = n = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        whole = main_text(r["html"])
+        bare = main_text(re.sub(r"</?article>", "", r["html"]))
+        a, b = whole.split(), bare.split()
+        overlap += len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+        equal += whole == bare
+        n += 1
+    assert overlap / n > 0.85 and equal / n > 0.85, (overlap / n, equal / n)
