@@ -5,9 +5,10 @@ binary decisions; each decision node of the byte has its own context tree over t
 bytes, up to `DEPTH` of them. A tree node weighs its Krichevsky-Trofimov estimate against the
 product of its children, half and half, so the root mixes the estimates of all depths:
 Pw(s) = (Pkt(s) + prod Pw(children)) / 2. The trees are learned once, from the counts of all
-training texts, and then score every text. A byte that the deepest context has met takes the mixed
-predictions of its eight decisions; what probability those leave goes to the bytes it has never met,
-in proportion to the next shorter context's predictions, so probabilities sum to one.
+training texts, and then score every text. A decision is predicted at the deepest context of the
+text that is a node of its tree, by the mixture of all estimates from the root to there; a decision
+that no context has met is even. Each of a byte's decisions has one probability whatever the byte,
+so the probabilities of all bytes sum to one, seen or not.
 
 A context is a tree node if it is found at least `LEAST` times in the training texts, so nodes grow
 with the text; what a node's own children don't cover is one further child, the rest, with counts of
@@ -17,10 +18,9 @@ for the nodes above them, which are few whatever the corpus and are weighed in t
 takes the predictions down again. Texts travel in chunks of about `_CHUNK` bytes: a chunk asks each
 bucket once for every different gram it holds, and gets one prediction for each.
 
-The base score is a word unigram with add-one smoothing over exact counts. Words that make up at
-least one in `MAX_WORDS` of all tokens (at most MAX_WORDS of them) are looked up in a broadcast
-table; all others are counted by one join on the word's hash, where no word is frequent enough to
-fill a task.
+The base score is a word unigram with add-one smoothing over exact counts. Words (by their 64-bit
+hashes) take the same way: a chunk tells each bucket of words which it holds and, if it is taught
+from, how often, and gets their counts in all training texts.
 
 Null and empty texts are scored as one end token. Rows without an id are training rows. Repeated
 rows are scored each, and count in training as often as they come. With no training rows every
@@ -29,7 +29,6 @@ byte has probability 1/256. Only id and text columns are read.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,12 +45,11 @@ END = 0xFF
 LEAST = 2
 SPLIT = 3
 BUCKET_BITS = 8
-MAX_WORDS = 1 << 18
+WORDS = 1 << BUCKET_BITS
 _BYTES = 2 << 20
 _CHUNK, _CHUNK_ROWS = 4 << 20, 100_000
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
-WORD, GRAM = 0, 1
 
 
 def _bytes_table(of: bytes) -> np.ndarray:
@@ -142,24 +140,6 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return found[:n]
 
 
-def _hash(body: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(body)
-
-
-def _grouped(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes together, one text at least."""
-    start = 0
-    while start < len(texts):
-        stop, held = start, 0
-        while stop < len(texts) and (stop == start or held < most):
-            held += len(texts[stop] or b"")
-            stop += 1
-        yield start, stop
-        start = stop
-
-
 _HELD = 2_000_000  # counts that a task holds before it adds them up
 
 
@@ -174,39 +154,6 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first)
 
 
-def tallies(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, grams: bool = True) -> DataFrame:
-    """(kind, key, n): counts of words (by hash) and, if wanted, of byte grams over all rows."""
-
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = 0
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
-        for batch in batches:
-            bodies = batch.column(0).cast(pa.binary()).to_pylist()
-            for start, stop in _grouped(bodies, 2 * _BYTES):
-                texts = Texts(bodies[start:stop])
-                ends += stop - start
-                held[WORD].append(np.unique(texts.words()[0], return_counts=True))
-                for at in range(0, len(texts.data) if grams else 0, _BYTES):  # piece by piece, as keys take eight times the text
-                    held[GRAM].append(np.unique(texts.grams(depth, at, at + _BYTES), return_counts=True))
-                for kind, parts in held.items():
-                    if len(parts) > 1 and sum(len(k) for k, _ in parts) > _HELD:
-                        parts[:] = [_merged(parts)]
-                        if len(parts[0][0]) > _HELD // 2:
-                            yield rows(kind, *parts.pop())
-        for kind, parts in held.items():
-            if parts:
-                yield rows(kind, *_merged(parts))
-        if ends:
-            yield rows(WORD, np.array([END_WORD], _U), np.array([ends]))
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind byte, key long, n long")
-    # a task's keys are added up already, so they are dealt out as they are, without a hash map on the way
-    return counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
 # --- the model ------------------------------------------------------------------------------
 
 
@@ -274,75 +221,38 @@ def _low(depth: int) -> np.uint64:
 
 @dataclass
 class Model:
-    """Predictions of the weighted trees for whole bytes.
+    """Predictions of the weighted trees.
 
-    A byte that the deepest context has met is predicted there. What probability its met bytes leave
-    is shared by the others in proportion to the next shorter context's predictions.
+    `grams` are sorted grams of the deepest contexts with the log10 probabilities of their bytes;
+    nodes[d][k] has, for d bytes of context, the names of the nodes of the k-th decision and their
+    predictions of a one.
     """
 
     depth: int
-    whole: Table  # (depth, context, byte) -> log10 probability, for bytes met after a context
-    contexts: Table  # (depth, context) -> log10 of the share of the shorter context's prediction that a new byte gets
-
-    @staticmethod
-    def of(levels: list[np.ndarray], log_p: list[np.ndarray]) -> Model:
-        """From the sorted grams of each depth and the log10 probabilities of their bytes."""
-        log_p = [v.astype(float) for v in log_p]
-        missing = np.setdiff1d(np.arange(256, dtype=_U), levels[0])
-        rest = max(1 - (10 ** log_p[0]).sum(), 1e-12) if len(levels[0]) else 1.0
-        grams = [Model.tag(0, np.concatenate([levels[0], missing]))]
-        values = [np.concatenate([log_p[0], np.full(len(missing), np.log10(rest / max(1, len(missing))))])]
-        contexts, shares = [], []
-        for d in range(1, len(levels)):
-            keys = levels[d]
-            if not len(keys):
-                continue
-            names, first = _nodes(keys, 0)
-            up = _find(levels[d - 1], (keys >> _U(8) & _low(d - 1)) << _U(8) | keys & _U(255))
-            left = 1 - np.add.reduceat(10 ** log_p[d], first)
-            above = 1 - np.add.reduceat(10 ** log_p[d - 1][up], first)
-            contexts.append(Model.tag(d, names >> _U(8)))
-            shares.append(np.log10(np.maximum(left, 1e-9)) - np.log10(np.maximum(above, 1e-9)))
-            grams.append(Model.tag(d, keys))
-            values.append(log_p[d])
-        none = [np.zeros(0, _U)], [np.zeros(0)]
-        small = [np.concatenate(v).astype(np.float32) for v in (values, shares or none[1])]
-        return Model(len(levels) - 1, Table(np.concatenate(grams), small[0]), Table(np.concatenate(contexts or none[0]), small[1]))
-
-    @staticmethod
-    def opened(packed: bytes) -> Model:
-        """The model of `pack`; a worker process opens each once."""
-        name = _hash(packed)
-        if name not in _OPEN:
-            from zstandard import ZstdDecompressor
-
-            steps, log_p = pickle.loads(ZstdDecompressor().decompress(packed))
-            _OPEN.clear()
-            _OPEN[name] = Model.of([np.cumsum(np.frombuffer(k, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U) for k in steps], log_p)
-        return _OPEN[name]
-
-    @staticmethod
-    def tag(depth: int, keys: np.ndarray) -> np.ndarray:
-        return keys | _U(depth << 56)
+    grams: tuple[np.ndarray, np.ndarray]
+    nodes: list[list[tuple[np.ndarray, np.ndarray]]]
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's byte given its predecessors."""
-        out = np.zeros(len(keys), np.float64)
-        left, mine = None, keys
-        for d in range(self.depth, -1, -1):
-            mine = mine & _low(d + 1)
-            value, there = self.whole.get(self.tag(d, mine))
-            if left is None:
-                np.multiply(value, there, out=out)
-                left = np.flatnonzero(~there)
-                mine = mine[left]
-            else:
-                out[left[there]] += value[there]
-                left, mine = left[~there], mine[~there]
-            if not len(left):
-                break
-            share, known = self.contexts.get(self.tag(d, mine >> _U(8)))
-            out[left[known]] += share[known]
+        out = np.zeros(len(keys))
+        at = _find(self.grams[0], keys)
+        out[at >= 0] = self.grams[1][at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        mine = keys[rest]
+        context, byte = mine >> _U(8), mine & _U(255)
+        sums = np.zeros(len(rest))
+        for k in range(8):
+            one = np.full(len(rest), 0.5)
+            left = np.arange(len(rest))
+            for d in range(self.depth, -1, -1):
+                names, p = self.nodes[d][k]
+                at = _find(names, _head(context[left] & _low(d), byte[left], k))
+                one[left[at >= 0]] = p[at[at >= 0]]
+                left = left[at < 0]
+                if not len(left):
+                    break
+            sums += np.log10(np.where(byte >> _U(7 - k) & _U(1) == 1, one, 1 - one))
+        out[rest] = sums
         return out
 
 
@@ -358,32 +268,17 @@ def _nodes(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return heads[first], first
 
 
-def pack(levels: list[np.ndarray], log_p: list[np.ndarray]) -> bytes:
-    """A model for broadcast: differences of sorted grams, byte by byte, and log probabilities."""
-    from zstandard import ZstdCompressor
-
-    steps = [np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for keys in levels]
-    return ZstdCompressor(level=6).compress(pickle.dumps((steps, [v.astype(np.float32) for v in log_p])))
-
-
-_OPEN: dict[int, Model] = {}
-
-
-def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """log10 probabilities of the bytes of gram counts; levels[d] has sorted grams (context of d bytes, byte) and counts.
-
-    Only grams of contexts that are tree nodes are given, and a node's parent is a node.
-    """
-    return [f for f, _ in zip(_weigh(levels)[0], levels)]
-
-
 def _shorter(names: np.ndarray, depth: int) -> np.ndarray:
     """The parents' names of nodes with `depth` bytes of context."""
     return ((names >> _U(8) & _low(depth - 1)) << _U(8)) | (names & _U(255))
 
 
-def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], start: int = 0, entry: list[tuple] | None = None, ends: list[tuple] | None = None, down: bool = True) -> tuple[list[np.ndarray], list[tuple], list[tuple]]:
-    """Weigh the levels from `start` bytes of context on: log10 probabilities, sums for the level above, states for the one below.
+def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], start: int = 0, entry: list[tuple] | None = None, ends: list[tuple] | None = None, down: bool = True) -> tuple[np.ndarray, list[list[tuple]], list[tuple], list[tuple]]:
+    """Weigh the levels from `start` bytes of context on.
+
+    Returns the log10 probabilities of the last level's grams, the nodes of each level and decision
+    with their predictions, sums for the level above, and states for the one below. Only grams of
+    contexts that are tree nodes are given, and a node's parent is a node.
 
     By decision, `entry` has (names, mixed, ahead) of the nodes above the first level, and `ends`
     (names, log Pw, zeros, ones) summed over the children of the last level's nodes; the two lists
@@ -391,7 +286,8 @@ def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], start: int = 0, entry: l
     weighed one after another; sorted grams keep a decision's nodes together.
     """
     last = len(levels) - 1
-    found = [np.zeros(len(keys)) for keys, _ in levels]
+    found = np.zeros(len(levels[last][0]))
+    nodes: list[list[tuple]] = [[] for _ in levels]
     sums, states = [], []
     for k in range(8):
         names, zeros, ones, firsts = [], [], [], []
@@ -436,15 +332,17 @@ def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], start: int = 0, entry: l
         for i in range(last + 1):
             own = (ones[i] + 0.5) / (zeros[i] + ones[i] + 1)
             p = mixed + ahead * (own if stay[i] is None else np.where(np.isnan(tail[i]), own, stay[i] * own + (1 - stay[i]) * tail[i]))
-            keys = levels[i][0]
-            each = np.repeat(p, np.diff(np.append(firsts[i], len(keys))))
-            found[i] += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
+            nodes[i].append((names[i], p))
+            if i == last:
+                keys = levels[i][0]
+                each = np.repeat(p, np.diff(np.append(firsts[i], len(keys))))
+                found += np.log10(np.where(((keys >> _U(7 - k)) & _U(1)) == 1, each, 1 - each))
             if stay[i] is not None:
                 mixed, ahead = mixed + ahead * stay[i] * own, ahead * (1 - stay[i])
             if i < last:
                 mixed, ahead = mixed[parent[i + 1]], ahead[parent[i + 1]]
         states.append((names[last], mixed, ahead))
-    return found, sums, states
+    return found, nodes, sums, states
 
 
 def levels_of(keys: np.ndarray, n: np.ndarray, start: int, stop: int, least: int = LEAST) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -461,15 +359,16 @@ def levels_of(keys: np.ndarray, n: np.ndarray, start: int, stop: int, least: int
     return levels[::-1]
 
 
-def fit(counted: DataFrame, texts: int, depth: int = DEPTH, least: int = LEAST) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The whole trees of a small table's tallies at once: sorted grams of each depth, and probabilities.
+def weighed(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of whole trees: levels[d] has sorted grams (context of d bytes, byte) and counts."""
+    found, nodes, _, _ = _weigh(levels)
+    return Model(len(levels) - 1, (levels[-1][0], found), nodes)
 
-    `score` never gathers the trees like this; tests hold it against them.
-    """
-    kept = counted.where(F.col("kind") == GRAM).select("key", "n").toArrow()
-    keys, n = (np.asarray(kept.column(c), np.int64) for c in ("key", "n"))
-    levels = levels_of(keys.view(_U), n, 0, depth, least)
-    return [keys for keys, _ in levels], weigh(levels)
+
+def fit(texts: list[bytes | None], depth: int = DEPTH, least: int = LEAST) -> Model:
+    """The whole trees of a few texts at once; `score` never gathers them like this, tests hold it against them."""
+    grams, n = np.unique(Texts(texts).grams(depth), return_counts=True)
+    return weighed(levels_of(grams, n, 0, depth, least))
 
 
 # --- the trees in buckets -------------------------------------------------------------------
@@ -512,10 +411,16 @@ def _asked(texts: Texts, depth: int, split: int) -> tuple[np.ndarray, np.ndarray
     return keys[order], n[order], np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
 
 
+def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of a chunk, the end token with them, as `_asked` has its grams; a bucket holds a range of hashes."""
+    keys, n = np.unique(np.append(texts.words()[0], np.full(len(texts.sizes), END_WORD, _U)), return_counts=True)
+    return keys, n, np.searchsorted(keys >> _U(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=_U))
+
+
 def chunks(rows: DataFrame, training: Column, depth: int, split: int) -> DataFrame:
     """(chunk, bucket, keys, counts): texts by chunk (bucket -1), and what each chunk asks of each bucket.
 
-    A chunk's rows are either all training rows or none is, and then its grams count nothing.
+    Buckets from `WORDS` on are those of words. A chunk's rows are either all training rows or none is, and then its grams count nothing.
     """
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -526,11 +431,12 @@ def chunks(rows: DataFrame, training: Column, depth: int, split: int) -> DataFra
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(table)
         yield pa.record_batch([[chunk], [-1], [sink.getvalue().to_pybytes()], [None]], schema=schema)
-        keys, n, first = _asked(Texts(list(bodies)), depth, split)
-        found = np.flatnonzero(np.diff(first))
-        spans = [slice(first[b], first[b + 1]) for b in found]
-        counts = [_planes(n[s].astype(np.uint32)) for s in spans] if taught else [None] * len(spans)
-        yield pa.record_batch([[chunk] * len(spans), found.tolist(), [_planes(keys[s]) for s in spans], counts], schema=schema)
+        texts = Texts(list(bodies))
+        for start, (keys, n, first) in ((0, _asked(texts, depth, split)), (WORDS, _words(texts))):
+            found = np.flatnonzero(np.diff(first))
+            spans = [slice(first[b], first[b + 1]) for b in found]
+            counts = [_planes(n[s].astype(np.uint32)) for s in spans] if taught else [None] * len(spans)
+            yield pa.record_batch([[chunk] * len(spans), (found + start).tolist(), [_planes(keys[s]) for s in spans], counts], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 18
@@ -563,15 +469,20 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _merged(parts)
 
 
-def predicted(asked: DataFrame, depth: int, split: int, least: int = LEAST) -> DataFrame:
-    """(chunk, bucket, keys, counts): log10 probabilities, in `keys`, of the grams that chunks ask for, in their order."""
+def predicted(asked: DataFrame, depth: int, split: int, least: int = LEAST) -> tuple[DataFrame, int, int]:
+    """(chunk, bucket, keys, counts): in `keys` what chunks ask for, in their order, and the numbers of training tokens and words.
+
+    Grams get their log10 probabilities, words their counts.
+    """
     spark = asked.sparkSession
     by_bucket = asked.where("bucket >= 0").groupBy("bucket")
 
     def up(table: pa.Table) -> pa.Table:
         turned, n = _gathered(table)
+        if table["bucket"][0].as_py() >= WORDS:
+            return pa.table([pa.array([9 << 56]), *(pa.array([float(v)]) for v in (0, n.sum(), (n > 0).sum()))], ["tag", "below", "zeros", "ones"])
         keys = _back(turned)
-        sums = _weigh(levels_of(keys, n, split, depth, least), split, down=False)[1]
+        sums = _weigh(levels_of(keys, n, split, depth, least), split, down=False)[2]
         grams, n = levels_of(keys, n, split - 1, split - 1, 1)[0]
         sums.append((grams, np.zeros(len(grams)), n.astype(float), np.zeros(len(grams))))
         tags = np.concatenate([s[0] | _U(k << 56) for k, s in enumerate(sums)]).view(np.int64)
@@ -583,96 +494,62 @@ def predicted(asked: DataFrame, depth: int, split: int, least: int = LEAST) -> D
     ends = [(tags[tags >> _U(56) == k] & _low(7), *(c[tags >> _U(56) == k] for c in columns)) for k in range(8)]
     grams = tags >> _U(56) == 8
     top = levels_of(tags[grams] & _low(7), columns[1][grams].astype(np.int64), 0, split - 1, least)
-    found, _, states = _weigh(top, ends=ends)
-    shared = spark.sparkContext.broadcast(([keys for keys, _ in top], found, states))
+    seen, distinct = (int(c[tags >> _U(56) == 9].sum()) for c in columns[1:])
+    _, nodes, _, states = _weigh(top, ends=ends)
+    shared = spark.sparkContext.broadcast((nodes, states))
 
     def down(table: pa.Table) -> pa.Table:
-        top, known, entry = shared.value
+        above, entry = shared.value
         turned, n = _gathered(table)
-        keys = _back(turned)
-        local = levels_of(keys, n, split, depth, least)
-        # of the upper levels, what the bucket's own grams lead to
-        near = [np.isin(t >> _U(8), np.unique(keys >> _U(8) & _low(d))) for d, t in enumerate(top)]
-        model = Model.of([t[m] for t, m in zip(top, near)] + [k for k, _ in local], [v[m] for v, m in zip(known, near)] + _weigh(local, split, entry)[0])
-        values = np.concatenate([model.log_p(keys[at : at + _BYTES]) for at in range(0, len(keys), _BYTES)]).astype(np.float32)
+        if table["bucket"][0].as_py() >= WORDS:
+            values = n.astype(_U)
+        else:
+            keys = _back(turned)
+            local = levels_of(keys, n, split, depth, least)
+            found, below, _, _ = _weigh(local, split, entry)
+            model = Model(depth, (local[-1][0], found), above + below)
+            values = np.concatenate([model.log_p(keys[at : at + _BYTES]) for at in range(0, len(keys), _BYTES)]).astype(np.float32)
         out = [_planes(values[np.searchsorted(turned, _values(packed.as_py(), _U))]) for packed in table["keys"]]
         return pa.table([table["chunk"], table["bucket"], pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["chunk", "bucket", "keys", "counts"])
 
-    return by_bucket.applyInArrow(down, "chunk long, bucket int, keys binary, counts binary")
+    return by_bucket.applyInArrow(down, "chunk long, bucket int, keys binary, counts binary"), seen, distinct
 
 
 # --- scoring --------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row.
 
     Rows for which `training` (over doc_id) holds teach the model and the base.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    split, least_context = min(SPLIT, depth), least
-    counted = stored(tallies(rows.where(training), "text", grams=False))
-    words = counted.where(F.col("kind") == WORD).select("key", "n")
-    totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    seen, distinct = totals["n"] or 0, totals["v"]
-    divisor = np.log10(seen + distinct + 1)
-    end_count = words.where(F.col("key") == END_WORD).first()
-    least = max(2, -(-seen // max_words))
-    common = words.where((F.col("n") >= least) & (F.col("key") != END_WORD)).toArrow()
-    keys = np.asarray(common.column("key"), np.int64).view(_U) if common.num_rows else np.zeros(0, _U)
-    shared = spark.sparkContext.broadcast(Table(keys, np.log10(np.asarray(common.column("n"), float) + 1) if common.num_rows else np.zeros(0)))
-    end_log, end_known = np.log10((end_count["n"] if end_count else 0) + 1), int(bool(end_count))
+    split = min(SPLIT, depth)
+    asked = stored(chunks(rows, F.coalesce(training, F.lit(False)), depth, split))
+    answers, seen, distinct = predicted(asked, depth, split, least)
+    divisor = float(np.log10(seen + distinct + 1))
 
     def run(table: pa.Table) -> pa.Table:
-        known = shared.value
-        at = np.asarray(table["bucket"])
-        own = table.take(pa.array(np.argsort(at)))
+        own = table.take(pa.array(np.argsort(np.asarray(table["bucket"]))))
+        at = np.asarray(own["bucket"])
         batch = pa.ipc.open_stream(own["keys"][0].as_py()).read_all().combine_chunks()
         texts = Texts(batch["text"].to_pylist())
-        values = np.concatenate([_values(v.as_py(), np.float32) for v in own["keys"][1:]])
-        scores = _sums(texts, values, depth, split)
+        first = int(np.searchsorted(at, WORDS))
+        scores = _sums(texts, np.concatenate([_values(v.as_py(), np.float32) for v in own["keys"][1:first]]), depth, split)
+        counts = np.concatenate([_values(v.as_py(), _U) for v in own["keys"][first:]]).astype(float)
         n = len(texts.sizes)
-        ids = (table["chunk"][0].as_py() << 20) + np.arange(n)
-        keys, owner = texts.words()
-        log, is_common = known.get(keys)
-        base = np.bincount(owner, np.where(is_common, log, 0.0), n) + end_log
-        met = np.bincount(owner, is_common, n).astype(np.int64) + end_known
+        words, owner = texts.words()
+        _, back = np.unique(np.append(words, _U(END_WORD)), return_inverse=True)
+        log, met = np.log10(counts + 1)[back], (counts > 0)[back]
         n_tokens = np.bincount(owner, minlength=n) + 1
-        rare = ~is_common
-        m = int(rare.sum())
-        blank = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
-        padded = lambda v: pa.array(np.concatenate([v, np.zeros(m, v.dtype)]), mask=blank)
-        return pa.table(
-            [
-                pa.array(np.concatenate([ids, ids[owner[rare]]])),
-                pa.array(np.concatenate([ids, keys[rare].view(np.int64)])),
-                pa.array(np.concatenate([np.zeros(n, np.int8), np.ones(m, np.int8)])),
-                pa.chunked_array([*batch["doc_id"].chunks, pa.nulls(m, pa.int64())]),
-                padded(n_tokens),
-                padded(met),
-                padded(base),
-                padded(scores),
-                padded(texts.sizes),
-            ],
-            ["row", "key", "times", "doc_id", "n_tokens", "met", "base", "score", "n_bytes"],
-        )
-
-    asked = stored(chunks(rows, F.coalesce(training, F.lit(False)), depth, split))
-    answered = predicted(asked, depth, split, least_context).unionByName(asked.where("bucket < 0"))
-    each = answered.groupBy("chunk").applyInArrow(run, "row long, key long, times byte, doc_id long, n_tokens long, met long, base double, score double, n_bytes long")
-    # rows with times = 0 are the documents themselves; the others look up their word's count
-    rare = words.where(F.col("n") < least).select(F.col("key").alias("word"), "n")
-    joined = each.join(rare, (F.col("key") == F.col("word")) & (F.col("times") > 0), "left")
-    per_row = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("met") + F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.when(F.col("n").isNotNull(), F.col("times") * F.log10(F.col("n") + 1)).otherwise(0.0))).alias("base"),
-        F.max("score").alias("score"),
-        F.max("n_bytes").alias("n_bytes"),
-    )
-    return per_row.select("doc_id", "n_tokens", "n_known", F.lit(int(seen)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(divisor))).alias("base_score"), "score", "n_bytes")
+        base = np.bincount(owner, log[:-1], n) + log[-1] - n_tokens * divisor
+        n_known = np.bincount(owner, met[:-1], n).astype(np.int64) + int(met[-1])
+        columns = [n_tokens, n_known, np.full(n, seen), base, scores, texts.sizes]
+        return pa.table([batch["doc_id"], *(pa.array(c) for c in columns)], names)
+
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+    whole = answers.unionByName(asked.where("bucket < 0")).groupBy("chunk")
+    return whole.applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
 def _scores(trees: Model, texts: Texts) -> np.ndarray:

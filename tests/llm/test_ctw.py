@@ -76,33 +76,19 @@ def plain_trees(bodies, depth, least):
             z, o = rest(x, k, h)
             return p + ahead * (own if z + o == 0 else stay * own + (1 - stay) * (o + 0.5) / (z + o + 1))
 
-    def byte(c, b):
+    def predict(c, b):
+        """Each decision at the deepest node that has met it; even if none has."""
         p = 1.0
         for k in range(8):
-            q = one(c, k, b >> (8 - k))
+            head = b >> (8 - k)
+            met = [c[len(c) - d :] for d in range(len(c) + 1) if c[len(c) - d :] in kept[d] and (c[len(c) - d :], k, head) in counts[d]]
+            q = one(met[-1], k, head) if met else 0.5
             p *= q if b >> (7 - k) & 1 else 1 - q
         return p
 
-    met = [defaultdict(set) for _ in range(depth + 1)]
-    for body in bodies:
-        data = b"\0" * depth + body
-        for i in range(depth, len(data)):
-            for d in range(depth + 1):
-                met[d][data[i - d : i]].add(data[i])
-
-    def predict(c, b):
-        """Met bytes by their decisions; the others share what is left as the shorter context has it."""
-        mine = met[len(c)][c]
-        if b in mine:
-            return byte(c, b)
-        left = 1 - sum(byte(c, x) for x in mine)
-        if not c:
-            return left / (256 - len(mine))
-        return left * predict(c[1:], b) / (1 - sum(byte(c[1:], x) for x in mine))
-
     def log10(body):
         data = b"\0" * depth + body
-        return sum(math.log10(predict(data[i - max(d for d in range(depth + 1) if data[i - d : i] in kept[d]) : i], data[i])) for i in range(depth, len(data)))
+        return sum(math.log10(predict(data[i - depth : i], data[i])) for i in range(depth, len(data)))
 
     return log10
 
@@ -137,9 +123,8 @@ def test_against_plain_trees(scored):
         assert got[i]["n_bytes"] == len(body_of(t))
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
-    model = ctw.Model.opened(ctw.pack(*ctw.fit(ctw.tallies(docs, depth=3), len(TEXTS), 3)))
+def test_probabilities_sum_to_one():
+    model = ctw.fit([t.encode() for t in TEXTS], 3)
     for context in (b"the", b"zzz", b"\0\0\0", b"at "):
         keys = np.array([(context[2] << 8 | context[1] << 16 | context[0] << 24) | b for b in range(256)], np.uint64)
         assert (10 ** model.log_p(keys)).sum() == pytest.approx(1, abs=1e-5)
@@ -169,7 +154,7 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     u, n = np.unique(texts.grams(3), return_counts=True)
     levels = [tuple(np.unique(u & ctw._low(d + 1), return_inverse=True)) for d in range(4)]
     levels = [(g, np.bincount(back, n)) for g, back in levels]
-    model = ctw.Model.opened(ctw.pack([g for g, _ in levels], ctw.weigh(levels)))
+    model = ctw.weighed(levels)
     whole, words = ctw._scores(model, texts), texts.words()
     monkeypatch.setattr(ctw, "_BYTES", 776)
     assert ctw._scores(model, texts) == pytest.approx(whole)
@@ -193,9 +178,7 @@ def test_every_context_met_twice_is_a_node(spark):
     bodies = ["qzxjkv wyqzxp"] * 2 + [" ".join(rng.choice(words, 800)) for _ in range(130)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(bodies)], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in ctw.score(docs, F.lit(True)).collect()}
-    u, n = np.unique(ctw.Texts([t.encode() for t in bodies]).grams(), return_counts=True)
-    levels = ctw.levels_of(u, n, 0, ctw.DEPTH, 2)
-    model = ctw.Model.of([k for k, _ in levels], ctw.weigh(levels))
+    model = ctw.fit([t.encode() for t in bodies])
     whole = ctw._scores(model, ctw.Texts([t.encode() for t in bodies]))
     assert [got[i] for i in range(len(bodies))] == pytest.approx(whole, rel=1e-5)
-    assert np.uint64(int.from_bytes(b"qzxjkv", "big")) in levels[6][0] >> np.uint64(8)
+    assert np.uint64(int.from_bytes(b"qzxjkv", "big")) in model.nodes[6][0][0] >> np.uint64(8)
