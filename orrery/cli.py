@@ -15,7 +15,10 @@ from .sources import files, structures
 
 
 def _show(rows: DataFrame) -> None:
-    rows.show(1000, truncate=False)
+    """All rows between bars; a few at a time reach the driver."""
+    print("|" + "|".join(f"{c} " for c in rows.columns) + "|")
+    for row in rows.toLocalIterator():
+        print("|" + "|".join(f"{v} " for v in row) + "|")
 
 
 def _frames(spark: SparkSession, args: argparse.Namespace) -> DataFrame:

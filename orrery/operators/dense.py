@@ -55,6 +55,29 @@ def rmsd(frames: DataFrame, reference: dict[str, list[float]], fit: Sequence[int
     return per_frame(frames, lambda s: {"rmsd": linalg.rmsd(s, target, on, of)}, "rmsd double")
 
 
+def drms(frames: DataFrame, reference: dict[str, list[float]], atoms: Sequence[int], radii: Sequence[float | None] = (None,)) -> DataFrame:
+    """(frame, d0, d1 ...): root mean square difference of pair distances from the reference, one column for each radius.
+
+    With a radius r, smooth contacts r^6 / (r^6 + d^6) stand for the distances. One frame's pairs are
+    held at a time, so memory does not grow with the frames.
+    """
+    on = np.array(atoms) - 1
+
+    def read(d: np.ndarray, radius: float | None) -> np.ndarray:
+        return d if radius is None else radius**6 / (radius**6 + d**6)
+
+    still = [read(linalg.distances(matrix_of(reference)[None, on])[0], radius) for radius in radii]
+
+    def kernel(s: np.ndarray) -> dict[str, np.ndarray]:
+        out = np.empty((len(radii), len(s)))
+        for k, f in enumerate(s):
+            d = linalg.distances(f[None, on])[0]
+            out[:, k] = [linalg.drms(read(d, radius), fixed) for radius, fixed in zip(radii, still)]
+        return {f"d{i}": column for i, column in enumerate(out)}
+
+    return per_frame(frames, kernel, ", ".join(f"d{i} double" for i in range(len(radii))))
+
+
 def aligned(frames: DataFrame, reference: dict[str, list[float]], fit: Sequence[int] | None = None) -> DataFrame:
     """The trajectory superposed on the reference."""
     target = matrix_of(reference)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import AXES
@@ -53,24 +53,36 @@ def append_structure(frames: DataFrame, structure: dict[str, list[float]]) -> Da
     return frames.unionByName(row)
 
 
+def keys(*tables: DataFrame) -> list[str]:
+    """What names a frame in all of the tables: its number, and its trajectory where each names one."""
+    return [c for c in ("traj_id", "frame") if all(c in t.columns for t in tables)]
+
+
+def _both(value: Column, name: str) -> Column:
+    """A column that must be there on both sides of a full join."""
+    return F.coalesce(value, F.raise_error(F.lit(f"trajectories of different frames: {name} is missing in one of them")))
+
+
 def add_up(parts: Sequence[DataFrame], reference: dict[str, list[float]], atoms: Sequence[int]) -> DataFrame:
     """reference + sum over trajectories of (trajectory - reference) on the chosen atoms; others stay as in the reference."""
     chosen = set(atoms)
-    whole = parts[0].select("frame", *AXES)
+    by = keys(*parts)
+    whole = parts[0].select(*by, *AXES)
     for part in parts[1:]:
-        other = part.select("frame", *[F.col(a).alias(f"o{a}") for a in AXES])
-        whole = whole.join(other, "frame").select(
-            "frame", *[F.zip_with(F.zip_with(F.col(a), F.col(f"o{a}"), lambda p, q: p + q), F.lit([float(v) for v in reference[a]]), lambda s, r: s - r).alias(a) for a in AXES]
+        other = part.select(*by, *[F.col(a).alias(f"o{a}") for a in AXES])
+        whole = whole.join(other, by).select(
+            *by, *[F.zip_with(F.zip_with(F.col(a), F.col(f"o{a}"), lambda p, q: p + q), F.lit([float(v) for v in reference[a]]), lambda s, r: s - r).alias(a) for a in AXES]
         )
     mask = F.lit([k + 1 in chosen for k in range(len(reference["x"]))])
     still = {a: F.lit([float(v) for v in reference[a]]) for a in AXES}
-    return whole.select("frame", *[F.transform(F.arrays_zip(F.col(a).alias("v"), mask.alias("m"), still[a].alias("r")), lambda t: F.when(t["m"], t["v"]).otherwise(t["r"])).alias(a) for a in AXES])
+    return whole.select(*by, *[F.transform(F.arrays_zip(F.col(a).alias("v"), mask.alias("m"), still[a].alias("r")), lambda t: F.when(t["m"], t["v"]).otherwise(t["r"])).alias(a) for a in AXES])
 
 
 def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Atoms of two trajectories in one, frame by frame."""
-    other = right.select("frame", *[F.col(a).alias(f"o{a}") for a in AXES])
-    return left.select("frame", *AXES).join(other, "frame").select("frame", *[F.concat(a, f"o{a}").alias(a) for a in AXES])
+    """Atoms of two trajectories in one, frame by frame; a frame that one of them lacks is an error."""
+    by = keys(left, right)
+    other = right.select(*by, *[F.col(a).alias(f"o{a}") for a in AXES])
+    return left.select(*by, *AXES).join(other, by, "full").select(*by, *[F.concat(_both(F.col(a), a), _both(F.col(f"o{a}"), a)).alias(a) for a in AXES])
 
 
 def average(points: DataFrame) -> DataFrame:
@@ -87,15 +99,15 @@ def fluctuation(points: DataFrame, reference: dict[str, list[float]]) -> DataFra
 def previous(frames: DataFrame) -> DataFrame:
     """Each frame with the coordinates of the one before (px, py, pz) by one equi-join, in place of a
     window that would gather a whole trajectory in one task."""
-    by = [c for c in ("traj_id",) if c in frames.columns]
-    before = frames.select((F.col("frame") + 1).alias("frame"), *[F.col(a).alias(f"p{a}") for a in AXES])
-    return frames.select(*by, "frame", *AXES).join(before, "frame")
+    by = keys(frames)
+    before = frames.select(*[(F.col(c) + 1).alias(c) if c == "frame" else F.col(c) for c in by], *[F.col(a).alias(f"p{a}") for a in AXES])
+    return frames.select(*by, *AXES).join(before, by)
 
 
 def progressive_rmsd(frames: DataFrame) -> DataFrame:
-    """(frame, rmsd): deviation from the frame before, in place."""
+    """([traj_id,] frame, rmsd): deviation from the frame before in the same trajectory, in place."""
     squares = [F.aggregate(F.zip_with(F.col(a), F.col(f"p{a}"), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v) for a in AXES]
-    return previous(frames).select("frame", F.sqrt((squares[0] + squares[1] + squares[2]) / F.size("x")).alias("rmsd"))
+    return previous(frames).select(*keys(frames), F.sqrt((squares[0] + squares[1] + squares[2]) / F.size("x")).alias("rmsd"))
 
 
 def header(frames: DataFrame) -> DataFrame:

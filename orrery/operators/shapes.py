@@ -142,17 +142,14 @@ def dotted_surface(frames: DataFrame, radii: Sequence[float], atoms: Sequence[in
     return per_frame(frames, lambda s: {"area": np.array([_exposed(f, r, of, dots).sum() for f in s])}, "area double")
 
 
-def filled_surface(frames: DataFrame, radii: Sequence[float], solvent: float = 1.4, divisions: int = 2, overlap: float = 0.8, smallest: float = 0.5, generations: int = 8) -> DataFrame:
+def filled_surface(frames: DataFrame, radii: Sequence[float], solvent: float = 1.4, divisions: int = 2, overlap: float = 0.8, smallest: float = 0.5) -> DataFrame:
     """(frame, area): surface of the spheres together with filling spheres in the gaps the solvent can't enter."""
     base = np.array(radii, float)
     dots = sphere(divisions)
 
     def area(atoms: np.ndarray) -> float:
         xyz, r = atoms.copy(), base.copy()
-        for _ in range(generations):
-            made = _filling(xyz, r, solvent, overlap, smallest, dots)
-            if not made:
-                break
+        while made := _filling(xyz, r, solvent, overlap, smallest, dots):  # ends, as spheres keep apart from each other
             xyz = np.vstack([xyz, np.array([m[0] for m in made])])
             r = np.append(r, [m[1] for m in made])
         return float(_exposed(xyz, r, np.arange(len(r)), dots).sum())
@@ -393,7 +390,7 @@ def pore(frames: DataFrame, radii: Sequence[float], point: Sequence[float], vect
                         break
                     centre, radius = best(f[near], r[near], centre, rng)
                     profile[k] = radius
-                    if radius > widest or abs(k) > 10_000:
+                    if radius > widest:
                         break
                     centre = centre + way * step * z
                     k += way

@@ -84,7 +84,12 @@ class Context:
         return found
 
     def weights(self, block: Block) -> list[float] | None:
-        return self.masses if block.flag("MASS") else None
+        """Masses for a block that asks for them."""
+        if not block.flag("MASS"):
+            return None
+        if not self.masses or not sum(self.masses):
+            raise BlockError(f"{block.module}: --MASS wants masses, given or in the structure's B-factor column")
+        return self.masses
 
 
 Projection = Callable[[Block, Context], list[Column]]
@@ -184,10 +189,10 @@ def _within(block: Block, on: Context) -> list[Column]:
     return [measures.around(on.selection(m[1]), float(m[2]), len(on.reference["x"])).alias(_title(block, "within"))]
 
 
-@projection("drms")
-def _drms(block: Block, on: Context) -> list[Column]:
+@dense_module("drms")
+def _drms(block: Block, on: Context) -> DataFrame:
     radius = block.one("CMAPD")
-    return [measures.drms(on.selection(block.one("SELE", "/*/*/*/*")), on.reference, float(radius) if radius else None).alias(_title(block, "drms"))]
+    return dense.drms(on.frames, on.reference, on.selection(block.one("SELE", "/*/*/*/*")), (float(radius) if radius else None,)).withColumnRenamed("d0", _title(block, "drms"))
 
 
 @dense_module("rmsd")
@@ -246,4 +251,14 @@ def run(text: str, on: Context) -> dict[str, DataFrame]:
 
 
 def context(frames: DataFrame, atoms: DataFrame, masses: list[float] | None = None, box: tuple[float, float, float] | None = None) -> Context:
-    return Context(frames, atoms, reference(frames), masses, box)
+    """The structure's own coordinates are the reference, and its B-factors the masses unless others are given.
+
+    A structure without coordinates leaves the first frame as the reference.
+    """
+    if not {"x", "y", "z"} <= set(atoms.columns):
+        return Context(frames, atoms, reference(frames), masses, box)
+    more = ["b_factor"] if "b_factor" in atoms.columns else []
+    rows = atoms.select("atom_id", "x", "y", "z", *more).orderBy("atom_id").collect()  # one structure
+    if masses is None and more:
+        masses = [float(r["b_factor"] or 0.0) for r in rows]
+    return Context(frames, atoms, {a: [float(r[a]) for r in rows] for a in ("x", "y", "z")}, masses, box)

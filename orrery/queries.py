@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
@@ -266,20 +266,27 @@ def rmsd_in_place(spark, sf_dir):
     return whole.select("frame", r(measures.rmsd_in_place(ALL, reference(whole)), 5).alias("rmsd"))
 
 
-@query(f"with {POINTS} select b.frame, round(sqrt(sum({d2('a', 'b')}) / 21), 5) as rmsd from fl a join fl b on b.frame = a.frame + 1 and a.atom_id = b.atom_id group by b.frame")
+@query(
+    f"""with {POINTS}, n as (select *, dense_rank() over (partition by traj_id order by frame) as f from fl)
+select b.traj_id, cast(b.f as bigint) as frame, round(sqrt(sum({d2('a', 'b')}) / 21), 5) as rmsd from n a join n b on b.traj_id = a.traj_id and b.f = a.f + 1 and a.atom_id = b.atom_id group by b.traj_id, b.f"""
+)
 def rmsd_progressive(spark, sf_dir):
-    return manipulate.progressive_rmsd(frames(spark, sf_dir)).select("frame", r(F.col("rmsd"), 5).alias("rmsd"))
+    """Frames numbered from 1 in each of several trajectories."""
+    whole = frames(spark, sf_dir)
+    own = whole.withColumn("frame", F.row_number().over(Window.partitionBy("traj_id").orderBy("frame")).cast("long"))
+    return manipulate.progressive_rmsd(own).select("traj_id", "frame", r(F.col("rmsd"), 5).alias("rmsd"))
 
 
 @query(
-    f"""with {POINTS}, p as (select a.frame, a.atom_id as i, b.atom_id as j, sqrt({d2('a', 'b')}) as d from fl a join fl b on a.frame = b.frame and a.atom_id > b.atom_id where a.atom_id <= 10),
+    f"""with {POINTS}, p as (select a.frame, a.atom_id as i, b.atom_id as j, sqrt({d2('a', 'b')}) as d from fl a join fl b on a.frame = b.frame and a.atom_id > b.atom_id),
 q as (select p.frame, p.d, o.d as e from p join p o on o.frame = 1 and o.i = p.i and o.j = p.j)
 select frame, round(sqrt(avg((d - e) ** 2)), 5) as drms, round(sqrt(avg((0.000064 / (0.000064 + d ** 6) - 0.000064 / (0.000064 + e ** 6)) ** 2)), 4) as cmapd from q group by frame"""
 )
 def drms(spark, sf_dir):
     whole = frames(spark, sf_dir)
     ref = reference(whole)
-    return whole.select("frame", r(measures.drms(ALL[:10], ref), 5).alias("drms"), r(measures.drms(ALL[:10], ref, 0.2), 4).alias("cmapd"))
+    found = dense.drms(whole, ref, ALL, (None, 0.2))
+    return found.select("frame", r(F.col("d0"), 5).alias("drms"), r(F.col("d1"), 4).alias("cmapd"))
 
 
 def _superposed_sql() -> str:
@@ -389,14 +396,14 @@ def group_fluctuation(spark, sf_dir):
 
 
 @query(
-    f"""with {POINTS}, f as (select frame, atom_id, x, y, z from fl where atom_id in (1, 2, 3)), d as (select a.atom_id, a.frame as s, b.frame as t, sqrt({d2('a', 'b')}) as d from f a join f b on a.atom_id = b.atom_id),
+    f"""with {POINTS}, f as (select frame, atom_id, x, y, z from fl), d as (select a.atom_id, a.frame as s, b.frame as t, sqrt({d2('a', 'b')}) as d from f a join f b on a.atom_id = b.atom_id),
 m as (select atom_id, s, avg(d) as m from d group by atom_id, s), g as (select atom_id, avg(d) as g from d group by atom_id),
 c as (select d.atom_id, d.s, d.t, d.d - u.m - v.m + g.g as c from d join m u on u.atom_id = d.atom_id and u.s = d.s join m v on v.atom_id = d.atom_id and v.s = d.t join g on g.atom_id = d.atom_id),
 v as (select a.atom_id as i, b.atom_id as j, avg(a.c * b.c) as v from c a join c b on a.s = b.s and a.t = b.t group by 1, 2)
 select p.i, p.j, round(sqrt(greatest(p.v, 0) / sqrt(q.v * r.v)), 4) as dcor from v p join v q on q.i = p.i and q.j = p.i join v r on r.i = p.j and r.j = p.j where p.i > p.j"""
 )
 def distance_correlation(spark, sf_dir):
-    found = dense.distance_correlations(frames(spark, sf_dir), [(2, 1), (3, 1), (3, 2)])
+    found = dense.distance_correlations(frames(spark, sf_dir), [(a, b) for a in ALL for b in range(1, a)])
     return found.select("i", "j", r(F.col("dcor")).alias("dcor"))
 
 
@@ -464,9 +471,17 @@ def commitment(spark, sf_dir):
     return kinetics.commitment(series(spark, sf_dir), 1, 5).select("node", "visits", "hits", r(F.col("p"), 6).alias("p"))
 
 
-@query(f"with {SERIES} select distinct cast(node as integer) as node, 1 as basin from se")
+def _basins_sql(nodes: int, within: int) -> str:
+    ahead = ", ".join(f"min(case when node = {k} then t end) over (partition by traj_id order by t rows between 1 following and unbounded following) - t + 1 as d{k}" for k in range(1, nodes + 1))
+    each = " union all ".join(f"select node as a, {k} as b, count(*) as visits, sum(case when d{k} <= {within} then 1 else 0 end) as hits from nx group by node" for k in range(1, nodes + 1))
+    return f"""with recursive {SERIES}, nx as (select node, {ahead} from se), h as ({each}), e as (select a, b from h where a <> b and visits >= 100 and hits / visits >= 0.5),
+u as (select a, b from e union select b, a from e), g as (select node as a, node as c from (select distinct node from se) union select u.b, g.c from g join u on u.a = g.a)
+select cast(a as integer) as node, cast(min(c) as integer) as basin from g group by a"""
+
+
+@query(_basins_sql(5, 4))
 def kinetic_basins(spark, sf_dir):
-    return kinetics.basins(series(spark, sf_dir), 5, 8)
+    return kinetics.basins(series(spark, sf_dir), 5, 4)
 
 
 LINKS = f"""{SERIES}, n as (select node, lead(node) over (partition by traj_id order by t) as dst from se),
@@ -487,12 +502,12 @@ def _unrolled(step: str, start: str, rounds: int) -> str:
 
 
 @query(
-    f"""with {LINKS}, {_unrolled("select src as node, case when src = 1 then 0.0 else 1 + sum(p * v) end as v from pr join {prev} on dst = node group by src", "select distinct src as node, 0.0::double as v from pr", 60)}
-select cast(node as integer) as node, round(v, 4) as mfpt from i60"""
+    f"""with {LINKS}, {_unrolled("select src as node, case when src = 1 then 0.0 else 1 + sum(p * v) end as v from pr join {prev} on dst = node group by src", "select distinct src as node, 0.0::double as v from pr", 120)}
+select cast(node as integer) as node, round(v, 4) as mfpt from i120"""
 )
 def first_passage(spark, sf_dir):
     links = kinetics.Links(kinetics.transitions(series(spark, sf_dir)))
-    return _solved(spark, links.nodes, mfpt=kinetics.first_passage(links, 1, 60)).select("node", r(F.col("mfpt")).alias("mfpt"))
+    return _solved(spark, links.nodes, mfpt=kinetics.first_passage(links, 1)).select("node", r(F.col("mfpt")).alias("mfpt"))
 
 
 @query(
@@ -520,9 +535,16 @@ def free_energy_profile(spark, sf_dir):
     return spark.createDataFrame([(n, round(v, 6), round(z, 6), round(e, 6)) for n, v, z, e in rows], "node int, mfpt double, za double, energy double")
 
 
-@query(f"with {LINKS} select distinct cast(src as integer) as node, 1 as component from l")
+@query(
+    """with recursive e as (select n_nationkey::bigint as a, n_nationkey::bigint * 2 % 25 as b from nation union select n_nationkey, n_nationkey::bigint * 5 % 25 from nation), n as (select a from e union select b from e),
+g as (select a, a as b from n union select g.a, e.b from g join e on e.a = g.b)
+select cast(x.a as integer) as node, cast(min(x.b) as integer) as component from g x join g y on x.a = y.b and x.b = y.a group by x.a"""
+)
 def strong_components(spark, sf_dir):
-    found = kinetics.strong(kinetics.Links(kinetics.transitions(series(spark, sf_dir))))
+    """Doubling modulo 25 has three cycles, of which multiples of five are reached from the others but don't lead back."""
+    key = F.col("n_nationkey").cast("int")
+    links = table(spark, sf_dir, "nation").select(key.alias("src"), F.explode(F.array(key * 2 % 25, key * 5 % 25)).alias("dst"), F.lit(1.0).alias("w")).distinct()
+    found = kinetics.strong(kinetics.Links(links))
     return spark.createDataFrame([(int(k), int(v)) for k, v in found.items()], "node int, component int")
 
 

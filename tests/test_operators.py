@@ -180,3 +180,49 @@ def test_series_text(spark, tmp_path):
     structures.write_lines(structures.series_lines(rows), str(tmp_path / "t"))
     text = [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()]
     assert text == ["#   nFr       dist         ss", "      1      2.250         LL", "      2      1.500         HH"]
+
+
+def _two_trajectories(spark, shift=0.0):
+    rows = [(t, f, [float(f * (t + 1)) + shift, 0.0, 1.0], [0.0, float(t), 0.0], [0.0, 1.0, float(f)]) for t in (0, 1) for f in (1, 2, 3)]
+    return spark.createDataFrame(rows, "traj_id long, frame long, x array<double>, y array<double>, z array<double>")
+
+
+def test_trajectories_are_told_apart(spark):
+    """Frame numbers repeat between trajectories: previous frames, sums and pairs stay within their own."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from orrery.operators import clusters, manipulate
+
+    whole = _two_trajectories(spark)
+    got = {(r["traj_id"], r["frame"]): r["rmsd"] for r in manipulate.progressive_rmsd(whole).collect()}
+    assert got == {(t, f): pytest.approx((((t + 1) ** 2 + 1) / 3) ** 0.5) for t in (0, 1) for f in (2, 3)}
+    zero = {a: [0.0] * 3 for a in "xyz"}
+    total = {(r["traj_id"], r["frame"]): r["x"] for r in manipulate.add_up([whole, whole], zero, [1, 2, 3]).collect()}
+    assert len(total) == 6 and total[1, 3] == [12.0, 0.0, 2.0]
+    wide = {(r["traj_id"], r["frame"]): len(r["x"]) for r in manipulate.side_by_side(whole, whole).collect()}
+    assert wide == {(t, f): 6 for t in (0, 1) for f in (1, 2, 3)}
+    with pytest.raises(Exception, match="different frames"):
+        manipulate.side_by_side(whole, whole.where("frame < 3")).collect()
+    numbered = whole.withColumn("id", F.col("traj_id") * 10 + F.col("frame"))
+    pairs = {(r["i"], r["j"]) for r in clusters.near_frames(numbered, 100.0, "in_place", block=2, id_col="id").collect()}
+    ids = [1, 2, 3, 11, 12, 13]
+    assert pairs == {(a, b) for a in ids for b in ids if a < b}
+    assert clusters.near_frames(whole, 100.0, "in_place", block=2).count() == 15
+
+
+def test_context_takes_the_structure_as_reference(spark):
+    import pytest
+
+    from orrery.plans import blocks
+
+    whole = _two_trajectories(spark).where("traj_id = 0").drop("traj_id")
+    structure = spark.createDataFrame([(k, "A", "A", k, "C", float(k), 0.0, 0.0, float(k)) for k in (1, 2, 3)], "atom_id long, chain_id string, seg_id string, res_seq long, atom_name string, x double, y double, z double, b_factor double")
+    on = blocks.context(whole, structure)
+    assert on.reference["x"] == [1.0, 2.0, 3.0] and on.masses == [1.0, 2.0, 3.0]
+    text = "BEGIN rgyr\n--TITLE g\n--SELE /*/*/*/*\n--MASS\nEND\n"
+    heavy = {r["frame"]: r["g"] for r in blocks.run(text, on)["frames"].collect()}
+    plain = {r["frame"]: r["g"] for r in blocks.run(text.replace("--MASS\n", ""), on)["frames"].collect()}
+    assert all(abs(heavy[f] - plain[f]) > 1e-3 for f in heavy)
+    with pytest.raises(blocks.BlockError):
+        blocks.run(text, blocks.context(whole, structure.drop("b_factor")))
