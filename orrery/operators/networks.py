@@ -40,6 +40,24 @@ WEIGHTS: dict[int, Callable[[float, float], float]] = {
 }
 
 
+# Normalisation of a residue's contacts by residue name.
+NORMS = {
+    "ALA": 55.7551, "ARG": 93.7891, "ARGN": 93.7891, "ASN": 73.4097, "ASP": 75.1507, "ASPH": 75.1507, "CYS": 54.9528, "CYN": 54.9528,
+    "GLN": 78.1301, "GLU": 78.8288, "GLUH": 78.8288, "GLY": 47.3129, "HIS": 83.7357, "HID": 83.7357, "HSD": 83.7357, "HSC": 83.7357,
+    "HSP": 83.7357, "HSE": 83.7357, "ILE": 67.9452, "LEU": 72.2517, "LYS": 69.6096, "LYP": 69.6096, "LYSN": 69.6096, "MET": 69.2569,
+    "PHE": 93.3082, "PRO": 51.331, "SER": 61.3946, "THR": 63.7075, "TRP": 106.703, "TYR": 100.719, "VAL": 62.3673, "RET": 170.1355,
+    "GDP": 220.1921, "GTP": 274.7802, "GTA": 361.3333, "GDA": 293.0, "MGT": 22.0147, "MGD": 14.6585, "MGX": 19.2477, "MGA": 23.83333,
+    "H2O": 27.0, "HOH": 27.0, "WAT": 27.0, "SOL": 27.0, "ZMA": 139.0, "LYR": 109.9498, "KRT": 262.5612, "MNG": 23.5,
+}
+UNKNOWN_NORM = 99999.99999
+
+
+def norm_of(residue_name: str | None, given: dict[str, float] | None = None) -> float:
+    """Norm of a residue by its name in any case; what is given comes before the fixed values, others don't interact."""
+    name = (residue_name or "").strip().upper()
+    return (given or {}).get(name, NORMS.get(name, UNKNOWN_NORM))
+
+
 @dataclass(frozen=True)
 class Network:
     """Residue of each atom (from 0), and of each residue: its norm, number and segment."""

@@ -122,10 +122,15 @@ def _assign(block: Block, on: Context) -> DataFrame:
 @whole("psn")
 def _psn(block: Block, on: Context) -> DataFrame:
     """Interactions of residues; --REPORT averages | hubs | clusters | auto gives what is derived from them."""
-    atoms = on.atoms.orderBy("atom_id").select("atom_id", "atom_name", "seg_id", "res_seq").collect()
+    named = ["res_name"] if "res_name" in on.atoms.columns else []
+    atoms = on.atoms.orderBy("atom_id").select("atom_id", "atom_name", "seg_id", "res_seq", *named).collect()
     keys: dict[tuple, int] = {}
     residue = tuple(keys.setdefault((a["seg_id"], a["res_seq"]), len(keys)) for a in atoms)
-    norm = (float(block.one("NORM", "100")),) * len(keys)
+    # --NORM is one norm for all; else residues have theirs by name, and --PARAM NAME VALUE gives further ones
+    given = {k.upper(): float(v) for k, v in (p.split()[:2] for p in block.all("PARAM"))}
+    of = {keys[a["seg_id"], a["res_seq"]]: a["res_name"] if named else None for a in reversed(atoms)}
+    one = block.one("NORM") or (None if named else "100")
+    norm = (float(one),) * len(keys) if one else tuple(networks.norm_of(of[k], given) for k in range(len(keys)))
     net = networks.Network(residue, norm, tuple(k[1] for k in keys), tuple(k[0] for k in keys), float(block.one("DISTCUTOFF", "4.5")), int(block.one("PROXIMITY", "3")))
     report, least = block.one("REPORT", "interactions"), block.one("INTMIN", "0")
     if least.upper() == "AUTO" or report == "auto":

@@ -97,3 +97,11 @@ def test_data_blocks(spark):
         modules.run_data(spark, "BEGIN nothing\nEND")
     with pytest.raises(blocks.BlockError):
         modules.run_data(spark, "BEGIN mfpt\nEND", {"series": series})
+
+
+def test_residue_norms_by_name():
+    from orrery.operators import networks
+
+    assert networks.norm_of("ala") == 55.7551 and networks.norm_of("HOH") == networks.norm_of("WAT") == 27.0
+    assert networks.norm_of("XXX") == networks.norm_of(None) == networks.UNKNOWN_NORM
+    assert networks.norm_of("XXX", {"XXX": 12.0}) == 12.0
