@@ -161,8 +161,12 @@ BANDS, BAND_ROWS = 20, 5
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """Band keys of the MinHash signature; sets of similarity 0.8 share none with probability 0.0004."""
+#: Of 100 MinHash values, sets of similarity 0.8 differ in more than this many with probability 0.00002.
+DIFFERENT = 38
+
+
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of the MinHash values, and a byte of each value; sets of similarity 0.8 share no key with probability 0.0004."""
     least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
     for i in range(0, len(hashes), 4096):
         mixed = hashes[i : i + 4096, None] * _MULTIPLIERS
@@ -173,11 +177,24 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     for k in range(BAND_ROWS):
         keys = (keys ^ rows[:, k]) * np.uint64(0xD6E8FEB86659FD93)
         keys ^= keys >> np.uint64(32)
-    return keys
+    each = np.zeros(-(-len(least) // 8) * 8, np.uint8)
+    each[: len(least)] = least >> np.uint64(40)
+    return keys.view(np.int64), each.view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many bytes two signatures (arrays of longs) differ: every byte's bits are folded into its lowest."""
+    total = F.lit(0)
+    for k in range(-(-BANDS * BAND_ROWS // 8)):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
 
 def prints(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, fp, name, bands) of rows (doc_id, h, text): fingerprint, and name and bands of the set of `width`-word shingles.
+    """(doc_id, h, fp, name, bands, sig) of rows (doc_id, h, text): fingerprint, and name and signature of the set of `width`-word shingles.
 
     Texts without a word have no name.
     """
@@ -192,21 +209,21 @@ def prints(rows: DataFrame, width: int) -> DataFrame:
                 fps.append(majority(shingle_hashes(words, 3)))
                 own = np.unique(shingle_hashes(words, width))
                 names.append(sha256(own.tobytes()).digest()[:16] if len(own) else None)
-                keys.append(bands(own).view(np.int64) if len(own) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["doc_id", "h", "fp", "name", "bands"])
+                keys.append(signature(own) if len(own) else (None, None))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(names, pa.binary()), *(pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1))]
+            yield pa.record_batch(columns, ["doc_id", "h", "fp", "name", "bands", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, fp long, name binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, name binary, bands array<long>, sig array<long>")
 
 
 def similar(rows: DataFrame, found: DataFrame, known: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (a, b) between fingerprints that join all texts whose shingle sets are that similar, each edge verified.
 
     `rows` are (doc_id, h, text), `found` is `prints` of them and `known` has edges of fingerprints
-    already. Sets that share a band are compared with the band's first set; then, in bands that
-    still hold several components, sets of different components are compared. A set that is known to
-    hang together with another is not compared with it again, so a large group of near copies takes
-    as many comparisons as it has members.
+    already. Sets that share a band are compared with the band's best connected set; then, in bands
+    that still hold several components, sets of different components are compared, after a look at
+    their signatures. Sets that are known to hang together are not compared again, so a large group
+    of near copies takes about as many comparisons as it has members.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +232,13 @@ def similar(rows: DataFrame, found: DataFrame, known: DataFrame, width: int, sim
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], ["name", "fp", "hashes"])
 
     named = found.where("name is not null")
-    pick = F.min(F.struct("fp", "doc_id", "h"))
-    one = cut(named.groupBy("name").agg(pick.alias("pick"), F.min_by("bands", F.struct("fp", "doc_id", "h")).alias("bands")).select("name", "pick.fp", "pick.doc_id", "pick.h", "bands"))
+    pick = F.struct("fp", "doc_id", "h")
+    one = cut(named.groupBy("name").agg(F.min(pick).alias("pick"), F.min_by("bands", pick).alias("bands"), F.min_by("sig", pick).alias("sig")).select("name", "pick.fp", "pick.doc_id", "pick.h", "bands", "sig"))
     copies = named.select("name", F.col("fp").alias("b")).distinct().join(one.select("name", F.col("fp").alias("a")), "name").where("a <> b").select("a", "b")
     keyed = one.select(F.explode("bands").alias("band"), "name", "fp")
-    buckets = keyed.groupBy("band").agg(F.min(F.struct("name", "fp")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first")
-    shared = cut(keyed.join(buckets, "band").select("band", "name", "fp", "first"))
+    met = cut(keyed.join(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    ranked = met.join(met.groupBy("name").agg(F.sum("n").alias("degree")), "name")
+    shared = cut(ranked.join(ranked.groupBy("band").agg(F.max(F.struct("degree", "name")).alias("best")), "band").select("band", "name", "fp", "best"))
     wanted = shared.select("name").distinct().join(one.select("name", "fp", "doc_id", "h"), "name")
     bodies = rows.join(wanted.select("name", "fp", F.col("doc_id").alias("__id"), F.col("h").alias("__h")), (F.col("h") == F.col("__h")) & (F.col("doc_id") == F.col("__id")))
     held = stored(bodies.select("name", "fp", "text").mapInArrow(sets, "name binary, fp long, hashes array<long>").dropDuplicates(["name"]))
@@ -231,15 +249,18 @@ def similar(rows: DataFrame, found: DataFrame, known: DataFrame, width: int, sim
         both = F.size(F.array_intersect("g", "h"))
         return pairs.join(right, "n").join(left, "m").where(both >= F.lit(similarity) * (F.size("g") + F.size("h") - both)).where("a <> b").select("a", "b")
 
-    first = verified(shared.where("name <> first.name").select(F.col("first.name").alias("m"), F.col("name").alias("n")).distinct())
+    first = verified(shared.where("name <> best.name").select(F.col("best.name").alias("m"), F.col("name").alias("n")).distinct())
     edges = cut(ordered(known.union(copies).union(first)))
     label = components(edges)
-    marked = shared.select("band", "name", "fp").join(label, F.col("fp") == F.col("node"), "left").select("band", "name", F.coalesce("component", "fp").alias("label"))
+    marked = shared.select("band", "name", "fp").join(label, F.col("fp") == F.col("node"), "left").select("band", "name", "fp", F.coalesce("component", "fp").alias("label"))
     mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    open_ = cut(marked.join(mixed, "band"))
+    open_ = cut(marked.join(mixed, "band").join(one.select("name", "sig"), "name").join(held.select("name", "hashes"), "name"))
     x, y = open_.alias("x"), open_.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.name").alias("m"), F.col("y.name").alias("n")).distinct()
-    return ordered(edges.union(verified(met)))
+    # exact comparison is the join's own condition, behind two that cost little: no pair leaves the join but those that are similar
+    both = F.size(F.array_intersect("x.hashes", "y.hashes"))
+    alike = both >= F.lit(similarity) * (F.size("x.hashes") + F.size("y.hashes") - both)
+    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (differing("x.sig", "y.sig") <= DIFFERENT) & alike
+    return ordered(edges.union(x.join(y, across).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))))
 
 
 def ordered(edges: DataFrame) -> DataFrame:
