@@ -47,7 +47,7 @@ SPLIT = 3
 BUCKET_BITS = 8
 WORDS = 1 << BUCKET_BITS
 _BYTES = 2 << 20
-_CHUNK, _CHUNK_ROWS = 4 << 20, 100_000
+_CHUNK, _CHUNK_ROWS = 8 << 20, 100_000
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
