@@ -220,10 +220,10 @@ def similar(rows: DataFrame, found: DataFrame, known: DataFrame, width: int, sim
     """Edges (a, b) between fingerprints that join all texts whose shingle sets are that similar, each edge verified.
 
     `rows` are (doc_id, h, text), `found` is `prints` of them and `known` has edges of fingerprints
-    already. Sets that share a band are compared with the band's best connected set; then, in bands
-    that still hold several components, sets of different components are compared, after a look at
-    their signatures. Sets that are known to hang together are not compared again, so a large group
-    of near copies takes about as many comparisons as it has members.
+    already. Sets that share a band are compared with the band's best connected set. Bands that then
+    still hold several components are put together by the component most of their sets are in, so
+    that a set comes into few such groups; there, sets of different components are compared in blocks.
+    No pair leaves a comparison but those that join components.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +253,105 @@ def similar(rows: DataFrame, found: DataFrame, known: DataFrame, width: int, sim
     edges = cut(ordered(known.union(copies).union(first)))
     label = components(edges)
     marked = shared.select("band", "name", "fp").join(label, F.col("fp") == F.col("node"), "left").select("band", "name", "fp", F.coalesce("component", "fp").alias("label"))
-    mixed = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    open_ = cut(marked.join(mixed, "band").join(one.select("name", "sig"), "name").join(held.select("name", "hashes"), "name"))
-    x, y = open_.alias("x"), open_.alias("y")
-    # exact comparison is the join's own condition, behind two that cost little: no pair leaves the join but those that are similar
-    both = F.size(F.array_intersect("x.hashes", "y.hashes"))
-    alike = both >= F.lit(similarity) * (F.size("x.hashes") + F.size("y.hashes") - both)
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (differing("x.sig", "y.sig") <= DIFFERENT) & alike
-    return ordered(edges.union(x.join(y, across).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))))
+    counted = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counted.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("band", F.col("most.label").alias("group"))
+    members = marked.join(mixed, "band").select("group", "name", "fp", "label").distinct()
+    open_ = stored(members.join(one.select("name", "sig"), "name").join(held.select("name", "hashes"), "name").select("group", "name", "fp", "label", "sig", "hashes"))
+    return ordered(edges.union(compared(open_, similarity)))
+
+
+#: A block of a group of sets has about this many sets, and about this many hashes.
+BLOCK_SETS, BLOCK_HASHES = 512, 1 << 21
+_TILE = 4096
+
+
+def compared(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that join all sets of a group that are that similar and have different labels.
+
+    `sets` are (group, name, fp, label, sig, hashes). A group is cut into blocks by its number of
+    sets and of hashes, and each two blocks are compared in a task of their own: signatures first,
+    then the sizes of intersections, of all that are left, as a product of matrices. Of what is
+    similar only the edges leave that join what the labels and the edges before did not.
+    """
+    total = sets.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.size("hashes")) / BLOCK_HASHES), F.lit(1)).cast("int").alias("blocks"))
+    dealt = sets.join(total, "group").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.select("*", with_.alias("other")).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "label", "sig", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
+        label, fps, block = (np.asarray(table[c]) for c in ("label", "fp", "block"))
+        out: list[tuple[int, int]] = []
+        if len(np.unique(label)) > 1:
+            sigs = np.array(table["sig"].to_pylist(), np.int64).view(np.uint8)
+            left, right = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
+            out = _joining(left, right, label, fps, sigs, table["hashes"].combine_chunks(), similarity)
+        return pa.table([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return pairs.groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _joining(left: np.ndarray, right: np.ndarray, label: np.ndarray, fps: np.ndarray, sigs: np.ndarray, hashes: pa.Array, similarity: float) -> list[tuple[int, int]]:
+    """Edges between the fingerprints of similar sets of `left` and `right` that join different labels."""
+    near = np.zeros((len(left), len(right)), bool)
+    for k, one in enumerate(left):
+        near[k] = (sigs[right] != sigs[one]).sum(1) <= DIFFERENT
+    near &= label[left][:, None] != label[right][None, :]
+    left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
+    if not len(left):
+        return []
+    offsets, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+
+    def entries(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = offsets[at + 1] - offsets[at]
+        return np.repeat(np.arange(len(at)), sizes), np.concatenate([values[offsets[k] : offsets[k + 1]] for k in at]), sizes
+
+    (rows, a, size_a), (columns, b, size_b) = entries(left), entries(right)
+    words = np.intersect1d(a, b)
+    both = np.zeros(near.shape, np.int64)
+    at_a, at_b = _sorted(a, rows, words), _sorted(b, columns, words)
+    for start in range(0, len(words), _TILE):
+        width = min(_TILE, len(words) - start)
+        x, y = (_ones(at, start, width, n) for at, n in ((at_a, len(left)), (at_b, len(right))))
+        both += (x @ y.T).astype(np.int64)
+    near &= both >= similarity * (size_a[:, None] + size_b[None, :] - both)
+    parent = {int(v): int(v) for v in np.unique(label)}
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    x, y = np.nonzero(near)
+    labels, first = np.unique(np.stack([label[left[x]], label[right[y]]], 1), axis=0, return_index=True)
+    out = []
+    for (u, v), k in zip(labels.tolist(), first.tolist()):
+        u, v = root(u), root(v)
+        if u != v:
+            parent[u] = v
+            out.append((int(fps[left[x[k]]]), int(fps[right[y[k]]])))
+    return out
+
+
+def _sorted(values: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `words`, owner) of the values that are words, by place."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.searchsorted(words, values)
+    at[at == len(words)] = 0
+    mine = words[at] == values
+    at, owner = at[mine], owner[mine]
+    order = np.argsort(at, kind="stable")
+    return at[order], owner[order]
+
+
+def _ones(places: tuple[np.ndarray, np.ndarray], start: int, width: int, n: int) -> np.ndarray:
+    """Which of `n` sets have which of the `width` words from `start`, as ones and zeros."""
+    at, owner = places
+    low, high = np.searchsorted(at, (start, start + width))
+    out = np.zeros((n, width), np.float32)
+    out[owner[low:high], at[low:high] - start] = 1
+    return out
 
 
 def ordered(edges: DataFrame) -> DataFrame:
