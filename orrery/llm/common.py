@@ -44,19 +44,35 @@ def stored(df: DataFrame) -> DataFrame:
 
     For tables with millions of narrow rows this takes a fraction of a checkpoint's space.
     """
+    path = _place(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle `df` by `key` and keep it as a table of buckets, which is grouped by `key` without another shuffle."""
     spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = _place(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+def _place(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     path = f"{folder or tempfile.mkdtemp(prefix='orrery-')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _kept:
         atexit.register(_remove)
     _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove() -> None:
     for spark, path in _kept:
         if spark.sparkContext._jsc is None:
             continue
+        spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1].replace('-', '_')}")
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

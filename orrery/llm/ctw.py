@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bucketed
 
 DEPTH = 6
 END = 0xFF
@@ -418,7 +418,7 @@ def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks(rows: DataFrame, training: Column, depth: int, split: int) -> DataFrame:
-    """(chunk, bucket, keys, counts): texts by chunk (bucket -1), and what each chunk asks of each bucket.
+    """(chunk, bucket, keys, counts): texts by chunk (buckets below zero, spread by chunk), and what each chunk asks of each bucket.
 
     Buckets from `WORDS` on are those of words. A chunk's rows are either all training rows or none is, and then its grams count nothing.
     """
@@ -430,7 +430,7 @@ def chunks(rows: DataFrame, training: Column, depth: int, split: int) -> DataFra
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(table)
-        yield pa.record_batch([[chunk], [-1], [sink.getvalue().to_pybytes()], [None]], schema=schema)
+        yield pa.record_batch([[chunk], [-1 - (chunk * _POWER >> 16) % (1 << 30)], [sink.getvalue().to_pybytes()], [None]], schema=schema)
         texts = Texts(list(bodies))
         for start, (keys, n, first) in ((0, _asked(texts, depth, split)), (WORDS, _words(texts))):
             found = np.flatnonzero(np.diff(first))
@@ -525,7 +525,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     split = min(SPLIT, depth)
-    asked = stored(chunks(rows, F.coalesce(training, F.lit(False)), depth, split))
+    asked = bucketed(chunks(rows, F.coalesce(training, F.lit(False)), depth, split), "bucket")
     answers, seen, distinct = predicted(asked, depth, split, least)
     divisor = float(np.log10(seen + distinct + 1))
 
