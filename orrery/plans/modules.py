@@ -94,7 +94,7 @@ def _cluster(block: Block, on: Context) -> DataFrame:
     if "traj_id" not in frames.columns:
         frames = frames.withColumn("traj_id", F.lit(1))
     if method in ("qt", "fastqtlike"):
-        return clusters.quality_threshold(clusters.near_frames(frames, cutoff, distance))
+        return clusters.quality_frames(frames, cutoff, distance)
     if method == "hiero":
         return clusters.hierarchical(frames, cutoff, distance)
     if method == "leader":

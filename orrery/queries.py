@@ -605,7 +605,7 @@ def near_frames_tanimoto(spark, sf_dir):
 
 @query()
 def quality_threshold(spark, sf_dir):
-    return clusters.quality_threshold(clusters.near_frames(frames(spark, sf_dir), 0.26, "in_place"))
+    return clusters.quality_frames(frames(spark, sf_dir), 0.26, "in_place")
 
 
 @query()

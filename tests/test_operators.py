@@ -66,6 +66,32 @@ def test_clusters(small):
     assert [len(found[k]) for k in sorted(found)] == sorted(map(len, expected), reverse=True)
 
 
+@pytest.mark.parametrize("listed", [1, 60, 10**6])
+def test_quality_clusters_in_rounds(spark, listed):
+    """However few lists are gathered at once; links that repeat count once and links of a node to itself not at all."""
+    from orrery.functions.graph import quality_clusters
+
+    rng = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))] + [(70, 70), (71, 72), (72, 71)]
+    pairs = spark.createDataFrame([(10**10 - a, 10**10 - b) for a, b in links * 2], "i long, j long")
+    made = quality_clusters(73, [(72 - a, 72 - b) for a, b in links if a != b])
+    expected = {(10**10 - 72 + k, n + 1, 10**10 - 72 + c[0]) for n, c in enumerate(made) for k in c}
+    rows = clusters._quality(clusters._pair_sheets(pairs), listed).collect()
+    assert {tuple(r) for r in rows} == expected and len(rows) == len(expected)
+    assert sorted(map(tuple, clusters.quality_threshold(pairs).collect())) == sorted(expected)
+
+
+def test_quality_clusters_of_frames(small):
+    """Straight from frames as from their near pairs, several trajectories and groups of frames included."""
+    from pyspark.sql import functions as F
+
+    many = small.crossJoin(small.sparkSession.range(30)).withColumn("frame", F.col("frame") * 100 + F.col("id"))
+    for method, cutoff in (("in_place", 0.27), ("drms", 0.1)):
+        expected = clusters.quality_threshold(clusters.near_frames(many, cutoff, method)).collect()
+        assert sorted(clusters.quality_frames(many.repartition(9), cutoff, method).collect()) == sorted(expected)
+    assert clusters.quality_frames(small.where("frame < 0"), 1.0).count() == 0
+
+
 @pytest.mark.parametrize("mode", ["markov", "first", "nearest"])
 def test_leader(small, mode):
     from pyspark.sql import functions as F
